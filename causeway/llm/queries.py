@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from causeway.llm import lookalike, tokens
+from causeway.llm import languages, leaks, lookalike, tokens
 from causeway.sources.tables import table
 
 
@@ -20,5 +21,23 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leaked item with the number of documents that carry it."""
+    return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("docs"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.language_cases(languages.language_segments(table(spark, sf_dir, "documents")))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and every stretch with its language and confidence."""
+    return languages.language_segments(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_segments": p8_segments}
 SQL: dict[str, str] = {}
