@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.llm.lookalike import fold
+from causeway.llm.lookalike import SLICE, fold
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "nl", "ru")
 # Writings that name a language, besides its code with a region.
@@ -156,9 +156,14 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Machine:
     at = np.full(len(units), -1)
     at[marks] = np.arange(len(marks))
     of_mark = at[unit] >= 0
-    present = np.zeros((BUCKETS, len(marks)), np.float32)
-    present[bucket[of_mark], at[unit[of_mark]]] = 1
+    known = np.unique(bucket[of_mark])
+    column = np.full(BUCKETS, -1)
+    column[known] = np.arange(len(known))
+    present = np.zeros((len(known), len(marks)), np.float32)
+    present[column[bucket[of_mark]], at[unit[of_mark]]] = 1
     present /= size[marks].astype(np.float32)
+    shared = column[bucket] >= 0
+    unit, bucket = unit[shared], column[bucket[shared]]
     kernel = np.zeros((len(units), len(marks)))
     starts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
     for s, e in zip(starts, [*starts[1:], len(unit)], strict=True):
@@ -181,7 +186,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Machine:
         scores[~half] = features[~half] @ fit(clean & half)
         clean = scores.argmax(axis=1) == y
     scale = min(SCALES, key=lambda s: _loss(scores[clean] * s, y[clean]))
-    weights = present @ (root @ fit(clean)).astype(np.float32)
+    weights[known] = present @ (root @ fit(clean)).astype(np.float32)
     return Machine(weights.astype(np.float32), scale)
 
 
@@ -224,6 +229,19 @@ def segments_of(texts: list[str], machine: Machine) -> list[list[tuple]]:
 
     start is the stretch's first character in the text's one form; a text without words of a language has no segments.
     """
+    out: list[list[tuple]] = []
+    part: list[str] = []
+    size = 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= SLICE:
+            out += _segments_of(part, machine)
+            part, size = [], 0
+    return out + _segments_of(part, machine)
+
+
+def _segments_of(texts: list[str], machine: Machine) -> list[list[tuple]]:
     spans = [sentences(t) for t in texts]
     scores, letters = machine.scores([t[a:b] for t, cut in zip(texts, spans, strict=True) for a, b in cut])
     out: list[list[tuple]] = []

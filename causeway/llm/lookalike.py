@@ -35,6 +35,8 @@ LOOKALIKES = {
 # Code points without a picture of their own, besides those of category Cf.
 _UNSEEN = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10)]
 _TABLED = 0x20000
+#: Bytes that are worked on at once.
+SLICE = 1 << 20
 _COMPATIBLE = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>")
 _HANGUL_S, _HANGUL_L, _HANGUL_V, _HANGUL_T = 0xAC00, 0x1100, 0x1161, 0x11A7
 
@@ -156,23 +158,37 @@ def fold_points(points: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.nda
     return points, row
 
 
+def _fold_slice(raw: bytes, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The one form of texts that lie one after another in UTF-8, and the length of each in bytes."""
+    n = len(offsets) - 1
+    points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.int32)
+    heads = np.cumsum(np.concatenate([[0], (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80]))
+    counts = np.diff(heads[offsets])
+    points, row = fold_points(points, np.repeat(np.arange(n, dtype=np.int32), counts))
+    width = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+    return points.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8"), np.bincount(row, weights=width, minlength=n)
+
+
 def fold(texts: pa.Array) -> pa.Array:
-    """The one form of each text of an Arrow string array; nulls stay."""
+    """The one form of each text of an Arrow string array; nulls stay. Works through slices of some ``SLICE`` bytes."""
     n = len(texts)
     texts = texts.cast(pa.large_string())
     whole = pc.fill_null(texts, "")
+    if n == 0:
+        return texts.cast(pa.string())
     offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + n + 1]
-    if n == 0 or offsets[-1] == offsets[0]:
+    if offsets[-1] == offsets[0]:
         return texts.cast(pa.string())
-    raw = whole.buffers()[2][offsets[0] : offsets[-1]].to_pybytes()
-    points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.int32)
-    heads = np.cumsum(np.concatenate([[0], (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80]))
-    counts = np.diff(heads[offsets - offsets[0]])
-    points, row = fold_points(points, np.repeat(np.arange(n, dtype=np.int32), counts))
-    data = points.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
-    width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
-    ends = np.cumsum(np.bincount(row, weights=width, minlength=n)).astype(np.int64)
-    out = pa.LargeStringArray.from_buffers(n, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(data))
+    cuts = np.unique(np.concatenate([np.searchsorted(offsets, np.arange(offsets[0], offsets[-1], SLICE)), [n]]))
+    data, lengths = [], []
+    for start, end in zip(np.concatenate([[0], cuts]), cuts, strict=False):
+        if start < end:
+            raw = whole.buffers()[2][offsets[start] : offsets[end]].to_pybytes()
+            text, width = _fold_slice(raw, offsets[start : end + 1] - offsets[start])
+            data.append(text)
+            lengths.append(width)
+    ends = np.cumsum(np.concatenate([[0], *lengths])).astype(np.int64)
+    out = pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(b"".join(data)))
     return pc.if_else(texts.is_valid(), out, pa.scalar(None, pa.large_string())).cast(pa.string())
 
 

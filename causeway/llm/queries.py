@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import languages, leaks, lookalike, tokens
+from causeway.llm import entities, languages, leaks, lookalike, tokens
 from causeway.sources.tables import table
 
 
+def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = entities.catalogue_attributes(table(spark, sf_dir, "catalogue_entry"))
+    return entities.match(entries, entities.notice_attributes(table(spark, sf_dir, "accident_notice")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p4(spark, sf_dir).select("entry_id", "notice_id")
+
+
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs with the rule that found them and its confidence."""
+    return _p4(spark, sf_dir)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.alike_pairs(table(spark, sf_dir, "graph_node"))
 
@@ -39,5 +53,5 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.language_segments(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_segments": p8_segments}
+QUERIES = {"p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_segments": p8_segments}
 SQL: dict[str, str] = {}
