@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import entities, languages, leaks, lookalike, tokens
+from causeway.llm import entities, languages, leaks, lookalike, mapping, tokens
 from causeway.sources.tables import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.map_values(table(spark, sf_dir, "hazard_choice"), table(spark, sf_dir, "vocab_term"), "choice_id", ["name", "label"])
+
+
+def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that mean no entry, with their number of choices."""
+    unmatched = p3_found(spark, sf_dir).where("term_id = 0")
+    values = F.expr("stack(2, 'name', name, 'label', label) as (field_name, value)")
+    choices = table(spark, sf_dir, "hazard_choice").select("choice_id", values).distinct()
+    return unmatched.join(choices, ["choice_id", "field_name"]).groupBy("field_name", "value").agg(F.count("*").alias("choices"))
+
+
 def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = entities.catalogue_attributes(table(spark, sf_dir, "catalogue_entry"))
     return entities.match(entries, entities.notice_attributes(table(spark, sf_dir, "accident_notice")))
@@ -53,5 +65,5 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.language_segments(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_segments": p8_segments}
+QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_segments": p8_segments}
 SQL: dict[str, str] = {}
