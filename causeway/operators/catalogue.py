@@ -55,9 +55,13 @@ class _Links(HTMLParser):
         self.title, self._in = "", ""
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self._in = tag if tag in ("a", "title", "h1") else self._in
-        if tag == "a" and dict(attrs).get("href"):
-            self.found.append({"url": dict(attrs)["href"], "text": ""})
+        if tag in ("a", "title", "h1"):
+            self._in = tag
+        if tag == "a":
+            url = dict(attrs).get("href")
+            self._in = "a" if url else ""
+            if url:
+                self.found.append({"url": url, "text": ""})
 
     def handle_endtag(self, tag: str) -> None:
         self._in = "" if tag == self._in else self._in

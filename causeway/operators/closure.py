@@ -7,6 +7,7 @@ were new in the last one (semi-naive); the rounds are as many as the longest way
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,13 +17,14 @@ from causeway.session import durable
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 10_000) -> DataFrame:
     """All rows that come from ``seed`` by repeated steps. ``step`` maps new rows to their successors, same columns."""
-    known = new = durable(seed.distinct())
+    pieces = [durable(seed.distinct())]
     for _ in range(rounds):
-        new = durable(step(new).distinct().join(known, known.columns, "left_anti"))
+        known = reduce(DataFrame.unionByName, pieces)
+        new = durable(step(pieces[-1]).distinct().join(known, known.columns, "left_anti"))
         if new.isEmpty():
             break
-        known = durable(known.unionByName(new))
-    return known
+        pieces.append(new)
+    return reduce(DataFrame.unionByName, pieces)
 
 
 def _arcs(edges: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def key_codes(parents: DataFrame, ranges: int = KEY_RANGES) -> DataFrame:
 def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     """References without a live parent, with the reason.
 
-    ``references`` has scope, key, at (timestamp_ntz) and any other columns, which are kept; ``parents`` has scope, key,
+    ``references`` has scope, key, at (timestamp_ntz) and any other columns, which are kept (but for period and reason); ``parents`` has scope, key,
     since, until. A reference is sound if a parent row of its scope and key has since <= at and until null or > at.
     The result has the references' columns with period (yyyy-MM of at) and reason: ``missing`` without any parent row,
     ``deleted`` if one has since <= at, else ``late``.
@@ -51,8 +51,10 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     so they are missing or late, in a null period. Parent rows with a null start count as rows that never were live.
     Repeated parents change nothing, repeated references give repeated rows. Empty inputs give empty results.
     """
-    others = [c for c in references.columns if c not in ("scope", "key", "at")]
-    refs = references.where(F.col("key").isNotNull()).withColumn("period", F.date_format("at", "yyyy-MM"))
+    others = [c for c in references.columns if c not in ("scope", "key", "at", "period", "reason")]
+    own = F.struct(*others).alias("own") if others else F.lit(None).cast("string").alias("own")
+    refs = references.where(F.col("key").isNotNull()).select("scope", "key", "at", F.date_format("at", "yyyy-MM").alias("period"), own)
+    back = [F.col(f"own.`{c}`").alias(c) for c in others]
     codes = durable(key_codes(parents))
     small = broadcast_if_small(codes)
 
@@ -88,9 +90,9 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     asked = known.join(suspects, [*key, "period"], "left_semi")
     versions = rows.join(suspects.select(*key).distinct(), key, "left_semi")
     ends = F.when(F.col("since").isNotNull(), F.coalesce("until", F.expr(_FAR)))
-    empty = [F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in ["key", "period", *others]]
+    empty = [F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in ["key", "period", "own"]]
     events = asked.select(
-        *key, F.col("at").alias("time"), F.lit(1).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("ends"), "key", "period", *others
+        *key, F.col("at").alias("time"), F.lit(1).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("ends"), "key", "period", "own"
     ).unionByName(versions.select(*key, F.col("since").alias("time"), F.lit(0).alias("kind"), ends.alias("ends"), *empty))
     events = events.withColumn("day", F.to_date("time"))
 
@@ -105,13 +107,13 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     timed = (
         checked.join(days, [*key, "day"])
         .where(ends_by.isNull() | (ends_by <= F.col("time")))
-        .select("scope", "key", F.col("time").alias("at"), "period", *others, reason.alias("reason"))
+        .select("scope", "key", F.col("time").alias("at"), "period", *back, reason.alias("reason"))
     )
 
     there = rows.select(*key).distinct().withColumn("there", F.lit(True))
     undated = (
         rest.join(there, key, "left")
-        .select("scope", "key", "at", "period", *others, F.when(F.col("there"), "late").otherwise("missing").alias("reason"))
+        .select("scope", "key", "at", "period", *back, F.when(F.col("there"), "late").otherwise("missing").alias("reason"))
     )
     return timed.unionByName(undated)
 
