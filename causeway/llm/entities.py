@@ -188,7 +188,7 @@ DAYS = 2
 #: The rules by tier: name, joined attributes, and what a pair must fulfil besides.
 TIERS: list[list[tuple[str, list[str], str]]] = [
     [
-        ("number", ["number"], "against <= 1 and (same_name or same_town or same_date)"),
+        ("number", ["number"], "against <= 1 and (same_name or same_town or same_date) or against = 0 and (same_event or same_part)"),
         ("series and name", ["series", "name"], "against <= 1"),
         ("series and town", ["series", "town"], "against <= 1"),
         ("series and region", ["series", "region"], "against = 0 and support >= 4"),

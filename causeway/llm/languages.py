@@ -41,7 +41,7 @@ RIDGE = 0.3
 CLEANINGS = 4
 SCALES = (1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0)
 #: Letters of a sentence that count at most, letters below which it shows no language, and what a change costs.
-FULL_LETTERS, LEAST_LETTERS, CHANGE = 60, 3, 0.45
+FULL_LETTERS, LEAST_LETTERS, CHANGE = 60, 3, 0.25
 
 _BREAK = regex.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|\s*[\r\n\x0b\x0c\x85  ]+\s*|\s+[/|•]\s+|\s+-\s+(?=\p{Lu}|\d)")
 _LETTER = regex.compile(r"\p{L}")
@@ -75,9 +75,11 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def presences(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the distinct n-grams of each unit: the unit and the bucket; and the letters of each unit."""
+    if not units:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     plain = ["" if not u else _MARKUP.sub(" ", u).lower() for u in units]
     points = np.frombuffer((" " + " ".join(plain) + " ").encode("utf-32-le"), np.int32).astype(np.int64)
-    unit = np.repeat(np.arange(len(units)), np.array([len(p) + 1 for p in plain], np.int64)) if units else np.zeros(0, np.int64)
+    unit = np.repeat(np.arange(len(units)), np.array([len(p) + 1 for p in plain], np.int64))
     unit = np.concatenate([unit, unit[-1:]])[: len(points)]
     letter = _is_letter()[points]
     letters = np.bincount(unit[letter], minlength=len(units))
