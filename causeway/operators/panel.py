@@ -119,7 +119,7 @@ def balanced_anova(panel: DataFrame, metric: str, conditions: list[str], runs: i
     by_run = rows.groupBy("run_no").agg(F.avg("y").alias("run_mean"))
     total = rows.agg(F.avg("y").alias("m"), F.countDistinct("report_id").alias("n")).first()
     n, c, mean = total.n or 0, len(conditions), total.m
-    left = rows.join(by_report, "report_id").join(F.broadcast(by_condition), "condition_name").join(F.broadcast(by_run), "run_no")
+    left = rows.join(by_report, "report_id").join(F.broadcast(by_condition), "condition_name").join(by_run, "run_no")
     rest = F.col("y") - F.col("report_mean") - F.col("condition_mean") - F.col("run_mean") + F.lit(2 * (mean or 0.0))
     residual = left.agg(F.sum(rest * rest).alias("ss")).first().ss or 0.0
     between = by_report.agg(F.sum((F.col("report_mean") - F.lit(mean or 0.0)) ** 2).alias("ss")).first().ss or 0.0

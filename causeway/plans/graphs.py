@@ -92,9 +92,9 @@ def graph_validity(spark, sf_dir):
 
 def graph_signature_prf(spark, sf_dir):
     """Precision, recall and F1 of node and edge signatures against the reference graph, and the mean of both F1."""
-    g = load(spark, sf_dir)
-    nodes = compare.signature_scores(g.pairs, compare.node_signatures(g.nodes), "node")
-    edges = compare.signature_scores(g.pairs, compare.edge_signatures(g.edges, g.nodes), "edge")
+    g = cut(load(spark, sf_dir))
+    nodes = compare.signature_scores(g.pairs, durable(compare.node_signatures(g.nodes)), "node")
+    edges = compare.signature_scores(g.pairs, durable(compare.edge_signatures(g.edges, g.nodes)), "edge")
     keyed = g.pairs.select("graph_id", "report_id", "condition_name", "run_no")
     return keyed.join(nodes, "graph_id").join(edges, "graph_id").withColumn("overall", F.round((F.col("node_f1") + F.col("edge_f1")) / 2, 6))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.keys import case_key, difference_bucket, numeric_first
 from causeway.operators import compare, graphs, panel
-from causeway.plans.graphs import NODES_SQL, PRF_SQL, load
+from causeway.plans.graphs import NODES_SQL, PRF_SQL, cut, graph_perturb_sweep, load
 from causeway.session import durable
 from causeway.sources.tables import table
 
@@ -19,9 +19,9 @@ METRICS = ["node_f1", "edge_f1"]
 
 def scores(spark, sf_dir):
     """The panel: report_id, batch_id, case_id, condition_name, run_no, nodes, edges, node_f1, edge_f1."""
-    g = load(spark, sf_dir)
-    nodes = compare.signature_scores(g.pairs, compare.node_signatures(g.nodes), "node").select("graph_id", "node_f1")
-    edges = compare.signature_scores(g.pairs, compare.edge_signatures(g.edges, g.nodes), "edge").select("graph_id", "edge_f1")
+    g = cut(load(spark, sf_dir))
+    nodes = compare.signature_scores(g.pairs, durable(compare.node_signatures(g.nodes)), "node").select("graph_id", "node_f1")
+    edges = compare.signature_scores(g.pairs, durable(compare.edge_signatures(g.edges, g.nodes)), "edge").select("graph_id", "edge_f1")
     sizes = graphs.degree_factors(g.nodes, g.edges).select("graph_id", "nodes", "edges")
     return g.pairs.drop("ref_id").join(nodes, "graph_id").join(edges, "graph_id").join(sizes, "graph_id")
 
@@ -92,14 +92,14 @@ def panel_regression(spark, sf_dir):
     out = rows.groupBy("condition_name").agg(
         F.count("*").alias("graphs"), F.regr_slope("node_f1", "x").alias("slope"), F.regr_intercept("node_f1", "x").alias("intercept"), F.corr("node_f1", "x").alias("r")
     )
-    return out.select("condition_name", "graphs", *(F.round(c, 6).alias(c) for c in ("slope", "intercept", "r")), F.round(F.col("r") * F.col("r"), 6).alias("r2"))
+    return out.select("condition_name", "graphs", *(F.round(c, 4).alias(c) for c in ("slope", "intercept", "r")), F.round(F.col("r") * F.col("r"), 4).alias("r2"))
 
 
 def panel_low_decile(spark, sf_dir):
     """Graphs at or below the first decile of their condition's node score."""
     rows = durable(scores(spark, sf_dir))
     low = rows.groupBy("condition_name").agg(F.round(F.percentile("node_f1", F.lit(0.1)), 9).alias("low"))
-    return rows.join(F.broadcast(low), "condition_name").where("node_f1 <= low").select("graph_id", "condition_name", "node_f1")
+    return rows.join(low, "condition_name").where("node_f1 <= low").select("graph_id", "condition_name", "node_f1")
 
 
 def panel_histogram(spark, sf_dir):
@@ -199,6 +199,19 @@ def latest_outputs(spark, sf_dir):
     return last.select("report_id", "step_name", "last.output_id", "outputs")
 
 
+def controls_summary(spark, sf_dir):
+    """Negative controls per control and severity: mean share of edges kept, its decrease, d_z, and Holm-adjusted p-values."""
+    rows = graph_perturb_sweep(spark, sf_dir).groupBy("control", "severity", "graph_id").agg(F.avg("edges_kept").alias("kept"))
+    diffs = rows.select(F.concat_ws("|", "control", F.col("severity").cast("string")).alias("contrast"), F.col("graph_id").alias("report_id"), (1 - F.col("kept")).alias("diff"))
+    return panel.holm(panel.contrasts(diffs).withColumn("family", F.lit("controls")), "p", ["family"]).drop("family")
+
+
+def controls_monotonicity(spark, sf_dir):
+    """Whether the mean share of edges kept never rises with the severity of a control."""
+    means = graph_perturb_sweep(spark, sf_dir).groupBy("control", "severity").agg(F.avg("edges_kept").alias("kept"))
+    return panel.monotonicity(means, ["control"], "severity", "kept")
+
+
 PANEL_SQL = f"""with {NODES_SQL}, {PRF_SQL},
 panel as (
   select p.graph_id, p.report_id, p.batch_id, p.case_id, p.condition_name, p.run_no, n.node_f1, e.edge_f1, s.nodes
@@ -230,7 +243,8 @@ QUERIES = {
         panel_rollup, panel_run_summary, panel_report_means, panel_complete_reports, panel_paired_contrasts, panel_p_values, panel_holm,
         panel_balanced_anova, panel_bootstrap_dz, panel_quartiles, panel_signed_bucket, panel_regression, panel_low_decile, panel_histogram,
         panel_kde, panel_monotonicity, panel_audit, panel_key_set_diff, panel_round_pairs, panel_history, panel_top_reports,
-        panel_label_frequency, panel_case_order, heldout_documents, heldout_reports, latest_outputs,
+        panel_label_frequency, panel_case_order, heldout_documents, heldout_reports, latest_outputs, controls_summary,
+        controls_monotonicity,
     )
 }
 SQL = {
@@ -273,8 +287,8 @@ select contrast, count(*) as resamples, round(quantile_cont(dz, 0.025), 5) as lo
 select case when d <= -6 then '<=-6' when d <= -3 then '-5..-3' when d <= -1 then '-2..-1' when d = 0 then '0' when d <= 2 then '1..2' when d <= 5 then '3..5' else '>=6' end as bucket,
   count(*) as graphs, {_mean("node_f1")} as mean_node_f1 from panel join d using (graph_id) group by 1""",
     "panel_regression": PANEL_SQL
-    + """select condition_name, count(*) as graphs, round(regr_slope(node_f1, nodes), 6) as slope, round(regr_intercept(node_f1, nodes), 6) as intercept, round(corr(node_f1, nodes), 6) as r,
-  round(corr(node_f1, nodes) ** 2, 6) as r2 from panel group by 1""",
+    + """select condition_name, count(*) as graphs, round(regr_slope(node_f1, nodes), 4) as slope, round(regr_intercept(node_f1, nodes), 4) as intercept, round(corr(node_f1, nodes), 4) as r,
+  round(corr(node_f1, nodes) ** 2, 4) as r2 from panel group by 1""",
     "panel_low_decile": PANEL_SQL
     + "select graph_id, condition_name, node_f1 from panel join (select condition_name, round(quantile_cont(node_f1, 0.1), 9) as low from panel group by 1) using (condition_name) where node_f1 <= low",
     "panel_histogram": PANEL_SQL

@@ -72,7 +72,8 @@ def copy_status(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFr
 
 def exclusion_audit(kept: DataFrame, excluded: DataFrame) -> DataFrame:
     """One row: how many cases were kept and excluded."""
-    return kept.agg(F.count("*").alias("kept")).join(excluded.agg(F.count("*").alias("excluded")))
+    marked = kept.select(F.lit(True).alias("k")).unionAll(excluded.select(F.lit(False).alias("k")))
+    return marked.agg(F.count_if("k").alias("kept"), F.count_if(~F.col("k")).alias("excluded"))
 
 
 def graph_exchange(graph_node: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
