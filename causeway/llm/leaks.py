@@ -1,10 +1,9 @@
-"""Held-out passages in a corpus: a prefix-filtered join of rare word shingles, then a check of item-sized windows.
+"""Held-out passages in a corpus: a join of word shingles in step, then a check of item-sized windows.
 
-Both sides are brought to one form, lower case and words. Shingles of five words of the items are ordered by rarity in
-the corpus; of each window of an item only the rarest shingles, without which no window can agree, are joined. Hits count
-together where item and document positions run in step (the diagonal), and only such stretches are checked: the words
-of the item and of an item-sized window of the document are aligned, and some window of the item must agree in four
-fifths of its words, most of its rare ones among them.
+Both sides are brought to one form, lower case and words. Shingles of five words of the items are joined with the
+corpus. Hits count together where item and document positions run in step (the diagonal), and stretches are checked that
+have a shingle which isn't stock wording: the words of the item and of an item-sized window of the document are aligned,
+and some window of the item must agree in four fifths of its words, most of its rare ones among them.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm.lookalike import one_form
@@ -22,10 +21,11 @@ from causeway.session import broadcast_if_small, durable
 SHINGLE, WINDOW = 5, 20
 #: The share of a window's words, and of its rare words, that must agree.
 AGREE, AGREE_RARE = 0.8, 0.6
-#: Shingles of a window that a touched-up copy keeps at least, hence the length of the prefix.
+#: Shingles of a window that a touched-up copy keeps at least.
 SHARED = 3
-PREFIX = WINDOW - SHINGLE + 1 - SHARED + 1
-#: A word or shingle of one item is rare if at most this share of the documents, or this many, have it.
+#: Shingles in step that make a stretch a copy of the item, half of a window's.
+COPIED = (WINDOW - SHINGLE + 1) // 2
+#: What more than this share of the documents, and more than this many, have is frequent.
 RARE_SHARE, RARE_LEAST = 0.005, 3
 #: Diagonals are taken together in bands of twice this width, each shared by half with the next.
 BAND = 8
@@ -43,6 +43,14 @@ def _shingles(words: str) -> Column:
     return F.expr(f"if(size({words}) < {SHINGLE}, array(), transform(sequence(0, size({words}) - {SHINGLE}), i -> xxhash64({cut})))")
 
 
+def _in_context(words: str) -> Column:
+    """The shingles by position, each with those a window before and after it, null beyond the ends."""
+    all_ = _shingles(words)
+    before = F.slice(F.concat(F.array_repeat(F.lit(None).cast("long"), WINDOW), all_), F.lit(1), F.size(all_))
+    after = F.slice(all_, F.lit(WINDOW + 1), F.size(all_))
+    return F.posexplode(F.arrays_zip(all_.alias("token"), before.alias("before"), after.alias("after"))).alias("at", "s")
+
+
 def _close(a: str, b: str) -> bool:
     return abs(len(a) - len(b)) <= 2 and min(len(a), len(b)) >= 3 and SequenceMatcher(None, a, b, False).ratio() >= 0.75
 
@@ -72,57 +80,52 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id and item_id of every document that carries a passage of an item, each pair once.
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns aren't read. Null, empty and wordless texts
-    carry nothing and leak nothing, an item of fewer than five words can't leak. Repeated items count once per id. The
-    items' shingles are broadcast only if they are few (see ``broadcast_if_small``), else joined by shuffle.
+    carry nothing and leak nothing, an item of fewer than five words can't leak. Repeated items count once per id; items
+    with the same or an overlapping text each leak. The items' shingles are broadcast only if they are few (see
+    ``broadcast_if_small``), else joined by shuffle.
     """
     items = durable(items.where("item_id is not null").select("item_id", words_of("text").alias("item_words")).distinct())
     docs = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     worded = docs.select("doc_id", words_of("text").alias("words"))
 
-    of_items = items.select("item_id", F.posexplode(_shingles("item_words")).alias("item_at", "token"))
-    of_words = items.select("item_id", F.explode(F.array_distinct("item_words")).alias("word"))
-    scarce = of_words.groupBy("word").agg(F.count("*").alias("items")).where("items = 1").select("word", F.xxhash64("word").alias("token"))
-    few = broadcast_if_small(of_items.select("token").union(scarce.select("token")).distinct())
-    # one pass over the corpus: shingles by position, words with position -1
-    at_words = F.expr("transform(array_distinct(words), w -> struct(-1 as doc_at, xxhash64(w) as token))")
-    at_shingles = F.transform(_shingles("words"), lambda token, at: F.struct(at.alias("doc_at"), token.alias("token")))
-    tokens = worded.select("doc_id", F.explode(F.concat(at_shingles, at_words)).alias("t")).select("doc_id", "t.*")
-    hits = durable(tokens.join(few, "token"))
-    word_hits, hits = hits.where("doc_at < 0"), hits.where("doc_at >= 0")
+    of_items = durable(items.select("item_id", _in_context("item_words")).select("item_id", F.col("at").alias("item_at"), "s.*"))
+    of_words = durable(items.select("item_id", F.explode(F.array_distinct("item_words")).alias("word")).distinct())
+    # items of one text, and longer passages that items share, have the same surroundings
+    in_items = of_items.groupBy("token").agg(F.greatest(*(F.count_distinct(side) for side in ("before", "after"))).alias("surroundings"))
+    few = in_items.select("token", (F.col("surroundings") > 1).alias("several"))
+    tokens = worded.select("doc_id", _in_context("words")).select("doc_id", F.col("at").alias("doc_at"), "s.*").join(broadcast_if_small(few), "token")
+    hits = durable(tokens.select("doc_id", "doc_at", "token", "several", *(F.when(F.col("several"), F.col(side)).alias(side) for side in ("before", "after"))))
 
     total = docs.count()
     limit = max(RARE_LEAST, RARE_SHARE * total)
-    # documents that have a shingle or a word, counted map-side first
-    shingle_docs = hits.groupBy("token").agg(F.approx_count_distinct("doc_id", 0.02).alias("docs"))
-    common = word_hits.groupBy("token").agg(F.count("*").alias("docs")).where(F.col("docs") > limit)
-    rare_words = scarce.join(common, "token", "left_anti").select("word", F.lit(True).alias("rare"))
-
-    by_item = Window.partitionBy("token")
-    ranked = of_items.join(shingle_docs, "token", "left").withColumns(
-        {
-            "docs": F.coalesce("docs", F.lit(0)),
-            "items": F.size(F.collect_set("item_id").over(by_item)),
-            "start": F.explode(F.sequence(F.col("item_at") - (WINDOW - SHINGLE), F.col("item_at"))),
-        }
-    )
-    in_window = Window.partitionBy("item_id", "start").orderBy("items", "docs", "item_at")
-    prefix = (
-        ranked.withColumn("nth", F.row_number().over(in_window))
-        .where(F.col("nth") <= PREFIX)
-        .groupBy("item_id", "item_at", "token")
-        .agg(F.max((F.col("items") == 1) & (F.col("docs") <= limit)).alias("rare"))
-    )
+    # stock wording stands in several items and in many surroundings in the corpus; a group of copies has but one, touched up or not
+    seen = hits.where("several").select("token", F.explode(F.array(F.struct(F.lit("b").alias("side"), F.col("before").alias("by")), F.struct(F.lit("a").alias("side"), F.col("after").alias("by")))).alias("s"))
+    seen = seen.select("token", "s.*").where("by is not null").groupBy("token", "side", "by").agg(F.count("*").cast("double").alias("n"))
+    stock = seen.groupBy("token", "side").agg((F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("surroundings")).where(F.col("surroundings") > limit)
+    stock = stock.select("token", F.lit(True).alias("stock")).distinct()
+    shingles = of_items.join(stock, "token", "left").select("item_id", "item_at", "token", F.col("stock").isNull().alias("own"))
 
     band = F.floor((F.col("doc_at") - F.col("item_at")) / BAND)
     stretches = (
-        hits.join(broadcast_if_small(durable(prefix)), "token")
+        hits.join(broadcast_if_small(durable(shingles)), "token")
         .withColumn("band", F.explode(F.array(band, band - 1)))
         .groupBy("doc_id", "item_id", "band")
-        .agg(F.count_distinct("item_at").alias("shared"), F.max("rare").alias("rare"))
-        .where(F.col("rare") & (F.col("shared") >= SHARED))
-        .select("doc_id", "item_id", "band")
+        .agg(F.count_distinct("item_at").alias("shared"), F.count_distinct(F.when(F.col("own"), F.col("item_at"))).alias("own"))
+        .where((F.col("own") > 0) & (F.col("shared") >= SHARED))
+        .select("doc_id", "item_id", "band", (F.col("own") >= COPIED).alias("copied"))
     )
     stretches = durable(stretches)
+    asked = docs.join(stretches.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words_of("text").alias("words"))
+
+    # a word is rare unless it is frequent outside of the copies of its items, which don't count against themselves
+    in_docs = worded.select(F.explode(F.array_distinct("words")).alias("word")).join(broadcast_if_small(of_words.select("word").distinct()), "word")
+    common = durable(in_docs.groupBy("word").agg(F.count("*").alias("docs")).where(F.col("docs") > limit))
+    copies = stretches.where("copied").select("doc_id", "item_id").distinct()
+    may_come = copies.join(broadcast_if_small(durable(of_words.join(common, "word", "left_semi"))), "item_id").select("doc_id", "word").distinct()
+    come = asked.select("doc_id", F.explode(F.array_distinct("words")).alias("word")).join(may_come, ["doc_id", "word"], "left_semi")
+    come = come.groupBy("word").agg(F.count("*").alias("copied"))
+    common = common.join(come, "word", "left").where(F.col("docs") - F.coalesce("copied", F.lit(0)) > limit)
+    rare_words = of_words.select("word").distinct().join(common, "word", "left_anti").select("word", F.lit(True).alias("rare"))
 
     flags = (
         items.select("item_id", F.posexplode("item_words").alias("at", "word"))
@@ -131,7 +134,6 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("rare", F.lit(False)).alias("rare")))).alias("flags"))
     )
     items = items.join(flags, "item_id").select("item_id", "item_words", F.col("flags.rare").alias("rares"))
-    asked = docs.join(stretches.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words_of("text").alias("words"))
     start = F.greatest(F.col("band") * BAND - BAND, F.lit(0))
     end = (F.col("band") + 2) * BAND + F.size("item_words") + BAND
     passage = F.arrow_udf(_passage, "boolean")

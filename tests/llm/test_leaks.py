@@ -54,3 +54,23 @@ def test_window_needs_its_rare_words():
     assert leaks.best_window(item, rare, item) == (1.0, 1.0, 3)
     common = [w for w, r in zip(item, rare, strict=True) if not r]
     assert leaks.best_window(item, rare, common)[1] == 0.0
+
+
+def test_copies_and_equal_items_leak(spark):
+    """A passage in a third of all documents, and one that several items share, are leaks; stock wording isn't."""
+    rng = random.Random(7)
+    items, docs, truth = build(rng)
+    items[41], items[42] = items[11], items[12][20:] + passage(rng, 30)
+    truth |= {(d, 41) for d, k in truth if k == 11}
+    for d in range(1000, 1150):
+        part = items[20][30:60] if d % 2 else items[20][10:70]
+        docs[d] = " ".join(passage(rng, 5) + [w if rng.random() > 0.03 else "noise" for w in part] + passage(rng, 5))
+        truth.add((d, 20))
+    for d in range(1150, 1160):
+        docs[d] = " ".join(passage(rng, 5) + items[12][40:70])
+        truth |= {(d, 12), (d, 42)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    its = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    found = {tuple(r) for r in leaks.leaks(df, its).collect()}
+    assert found - {(d, 42) for d, k in truth if k == 12} == truth - {(d, 42) for d, k in truth if k == 12}
+    assert {(d, 42) for d in range(1150, 1160)} <= found
