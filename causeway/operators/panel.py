@@ -81,6 +81,29 @@ def t_test_p(t: float, df: float) -> float:
     return _beta_tail(df / (df + t * t), df / 2, 0.5)
 
 
+def t_quantile(df: float, level: float = 0.95) -> float:
+    """The t beyond which both tails together hold 1 - level, by bisection."""
+    low, high = 0.0, 1.0
+    while t_test_p(high, df) > 1 - level:
+        high *= 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if t_test_p(mid, df) > 1 - level else (low, mid)
+    return high
+
+
+def t_interval(values: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Mean and 95 % t-interval of a value within ``by``; of one value the interval is the value."""
+    out = values.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean_score"), F.stddev_samp(value).alias("sd_score"))
+
+    def quantiles(n: pa.Array) -> pa.Array:
+        return pa.array([t_quantile(k - 1) if k > 1 else 0.0 for k in n.to_pylist()], pa.float64())
+
+    half = F.coalesce(F.arrow_udf(quantiles, "double")("n") * F.col("sd_score") / F.sqrt("n"), F.lit(0.0))
+    ends = {"ci_low": F.round(F.col("mean_score") - half, 6), "ci_high": F.round(F.col("mean_score") + half, 6)}
+    return out.withColumns(ends).select(*by, F.round("mean_score", 6).alias("mean_score"), "ci_low", "ci_high")
+
+
 def _p_values(t: pa.Array, df: pa.Array) -> pa.Array:
     pairs = zip(t.to_pylist(), df.to_pylist(), strict=True)
     return pa.array([None if x is None or n is None or n < 1 else t_test_p(x, n) for x, n in pairs], pa.float64())

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.functions.text import seed_of
-from causeway.operators.assign import _as_rows
+from causeway.operators.assign import edit_counts
 
 Arcs = dict[tuple[str, str], str]
 CHANGES = ["nodes_deleted", "edges_deleted", "edges_reversed", "edges_rewired"]
@@ -74,34 +75,70 @@ CONTROLS = {
     "edge_endpoint_rewiring": rewire_edges,
     "combined": combined,
 }
-SEVERITIES = (0.1, 0.3, 0.5)
+SEVERITIES = (0.25, 0.50, 0.75)
+REPLICATES = 100
 
 
-def perturbation_sweep(nodes: DataFrame, edges: DataFrame, replicates: int = 1, seed: int = 42) -> DataFrame:
-    """Every graph under every control, severity and replicate: sizes, changes, and the share of edges and nodes kept.
+def refinement(labels: dict[str, str], arcs: Arcs, rounds: int = 2) -> Counter:
+    """Histogram of the refinement by successors, as ``compare.refined_labels`` has it, of one graph."""
+    now = dict(labels)
+    counted = Counter((0, x) for x in now.values())
+    for k in range(1, rounds + 1):
+        after: dict[str, list[str]] = {n: [] for n in now}
+        for s, t in arcs:
+            after[s].append(now[t])
+        now = {n: f"{now[n]}({','.join(sorted(after[n]))})" for n in now}
+        counted.update((k, x) for x in now.values())
+    return counted
 
-    The seed of a run comes from the sha256 of its keys, so runs can be repeated one by one.
+
+def histogram_similarity(a: Counter, b: Counter) -> float:
+    """The normalised kernel of two histograms: 1 for two empty graphs, 0 if only one is empty."""
+    if not a or not b:
+        return float(not a and not b)
+    return sum(n * b[x] for x, n in a.items()) / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+
+
+def _seed(*keys: object) -> int:
+    return int.from_bytes(hashlib.sha256("|".join(map(str, keys)).encode()).digest()[:8], "big")
+
+
+def perturbation_sweep(nodes: DataFrame, edges: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
+    """Every graph under every control, severity and replicate: sizes, changes, shares kept, and scores against itself.
+
+    The scores are label-refinement similarity and the edit distance and similarity of the perturbed against the given
+    graph. A row ``positive_control`` (severity 0, replicate 0) scores each graph as it is. The seed of a run comes from
+    the sha256 of its keys, so runs can be repeated one by one. The graph is repeated for each control and severity
+    only; replicates are made from it within the task.
     """
-    spark = nodes.sparkSession
-    grid = spark.createDataFrame([(c, s, r) for c in CONTROLS for s in SEVERITIES for r in range(1, replicates + 1)], "control string, severity double, replicate int")
-    graphs = _as_rows(nodes, edges)
+    cells = [("positive_control", 0.0), *((c, s) for c in CONTROLS for s in SEVERITIES)]
     # a fixed grid of runs for each graph, not a join of two tables
-    runs = F.array(*(F.struct(F.lit(r.control).alias("control"), F.lit(r.severity).alias("severity"), F.lit(r.replicate).alias("replicate")) for r in grid.collect()))
-    runs = graphs.select("graph_id", "nodes", "edges", F.explode(runs).alias("run")).select("graph_id", "nodes", "edges", "run.*")
-    runs = runs.withColumn("seed", seed_of(F.concat_ws("|", F.lit(str(seed)), F.col("graph_id").cast("string"), "control", F.col("severity").cast("string"), F.col("replicate").cast("string"))))
+    grid = F.array(*(F.struct(F.lit(c).alias("control"), F.lit(s).alias("severity")) for c, s in cells))
+    n = nodes.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", "node_type", F.lower("label").alias("label"))).alias("nodes"))
+    e = edges.groupBy("graph_id").agg(F.collect_list(F.struct("source", "target", "relation")).alias("edges"))
+    runs = n.join(e, "graph_id", "left").select("graph_id", "nodes", "edges", F.explode(grid).alias("run")).select("graph_id", "nodes", "edges", "run.*")
     schema = "graph_id long, control string, severity double, replicate int, seed string, nodes_before int, edges_before int, nodes_after int, edges_after int, "
-    schema += ", ".join(f"{c} int" for c in CHANGES) + ", edges_kept double, nodes_kept double"
+    schema += ", ".join(f"{c} int" for c in CHANGES) + ", edges_kept double, nodes_kept double, wl_similarity double, edit_distance double, edit_similarity double"
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
             for r in frame.itertuples(index=False):
                 types = {x["node_id"]: x["node_type"] for x in r.nodes}
+                labels = {x["node_id"]: x["label"] for x in r.nodes}
                 arcs = {(x["source"], x["target"]): x["relation"] for x in ([] if r.edges is None else r.edges)}
-                after, left, made = CONTROLS[r.control](types, arcs, r.severity, random.Random(int(r.seed)))
-                kept = len(set(left) & set(arcs)) / len(arcs) if arcs else 1.0
-                held = len(set(after) & set(types)) / len(types) if types else 1.0
-                rows.append((r.graph_id, r.control, r.severity, r.replicate, r.seed, len(types), len(arcs), len(after), len(left), *(made.get(c, 0) for c in CHANGES), kept, held))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return runs.mapInPandas(run, schema)
+                whole, rows = refinement(labels, arcs), []
+                for k in range(1, replicates + 1) if r.control in CONTROLS else [0]:
+                    start = _seed(seed, r.graph_id, r.control, f"{r.severity:.8f}", k) if k else seed
+                    after, left, made = CONTROLS[r.control](types, arcs, r.severity, random.Random(start)) if k else (types, arcs, {})
+                    kept = len(set(left) & set(arcs)) / len(arcs) if arcs else 1.0
+                    held = len(set(after) & set(types)) / len(types) if types else 1.0
+                    alike = histogram_similarity(refinement({n: labels[n] for n in after}, left), whole)
+                    distance = sum(edit_counts(after, left, types, arcs).values())
+                    part = distance / max(1, len(after) + len(left) + len(types) + len(arcs))
+                    sizes = len(types), len(arcs), len(after), len(left)
+                    changes = (made.get(c, 0) for c in CHANGES)
+                    rows.append((r.graph_id, r.control, r.severity, k, str(start), *sizes, *changes, kept, held, round(alike, 6), float(distance), round(max(0.0, 1 - part), 6)))
+                yield pd.DataFrame(rows, columns=columns)
+
+    return runs.repartition("graph_id", "control", "severity").mapInPandas(run, schema)

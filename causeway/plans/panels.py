@@ -199,17 +199,25 @@ def latest_outputs(spark, sf_dir):
     return last.select("report_id", "step_name", "last.output_id", "outputs")
 
 
+def _control_means(spark, sf_dir):
+    """Negative controls: the mean scores of a report (its reference graph) over the replicates, per control, severity and metric."""
+    scored = graph_perturb_sweep(spark, sf_dir).where("control <> 'positive_control'")
+    means = scored.groupBy("control", "severity", "graph_id").agg(panel.exact_mean("wl_similarity").alias("wl"), panel.exact_mean("edit_similarity").alias("edit"))
+    return means.select("control", "severity", "graph_id", F.expr("stack(2, 'wl_similarity', wl, 'edit_similarity', edit) as (metric, score)"))
+
+
 def controls_summary(spark, sf_dir):
-    """Negative controls per control and severity: mean share of edges kept, its decrease, d_z, and Holm-adjusted p-values."""
-    rows = graph_perturb_sweep(spark, sf_dir).groupBy("control", "severity", "graph_id").agg(F.avg("edges_kept").alias("kept"))
-    diffs = rows.select(F.concat_ws("|", "control", F.col("severity").cast("string")).alias("contrast"), F.col("graph_id").alias("report_id"), (1 - F.col("kept")).alias("diff"))
-    return panel.holm(panel.contrasts(diffs).withColumn("family", F.lit("controls")), "p", ["family"]).drop("family")
+    """Negative controls per control, severity and score: mean with its 95 % t-interval, mean decrease, d_z, and Holm-adjusted p-values."""
+    means = _control_means(spark, sf_dir).withColumn("contrast", F.concat_ws("|", "control", F.col("severity").cast("string"), "metric"))
+    diffs = means.select("contrast", F.col("graph_id").alias("report_id"), (1 - F.col("score")).alias("diff"))
+    tests = panel.holm(panel.contrasts(diffs).withColumn("family", F.lit("controls")), "p", ["family"]).drop("family")
+    return tests.join(panel.t_interval(means, ["contrast"], "score"), "contrast")
 
 
 def controls_monotonicity(spark, sf_dir):
-    """Whether the mean share of edges kept never rises with the severity of a control."""
-    means = graph_perturb_sweep(spark, sf_dir).groupBy("control", "severity").agg(F.avg("edges_kept").alias("kept"))
-    return panel.monotonicity(means, ["control"], "severity", "kept")
+    """Whether the mean score never rises with the severity of a control, per control and score."""
+    means = _control_means(spark, sf_dir).groupBy("control", "metric", "severity").agg(panel.exact_mean("score").alias("score"))
+    return panel.monotonicity(means, ["control", "metric"], "severity", "score")
 
 
 PANEL_SQL = f"""with {NODES_SQL}, {PRF_SQL},
