@@ -117,12 +117,12 @@ def degree_factors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def ontology_violations(nodes: DataFrame, edges: DataFrame, strict: bool = False) -> DataFrame:
+def ontology_violations(nodes: DataFrame, edges: DataFrame, strict: bool = False, ways_in: bool = False) -> DataFrame:
     """Violations of the graph schema: graph_id, rule, item. ``edges`` are the written ones.
 
     Rules: hazard_count (not exactly one), bad_node_id, unknown_endpoint, bad_relation, bad_endpoint_types, self_loop,
     duplicate_edge, isolated_node; strict adds hazard_links (in at least 1, out 0) and no_way_out (a node that is no
-    hazard without an edge out). One violation-finding query each, united.
+    hazard without an edge out); ways_in adds no_way_in (a condition without an edge in). One violation-finding query each, united.
     """
     spark = nodes.sparkSession
     typed = nodes.select("graph_id", "node_id", "node_type")
@@ -156,6 +156,9 @@ def ontology_violations(nodes: DataFrame, edges: DataFrame, strict: bool = False
             hazard.join(outs, ["graph_id", "node_id"], "left_semi").select("graph_id", F.lit("hazard_links"), "node_id"),
             typed.where("node_type <> 'hazardconsequence'").join(outs, ["graph_id", "node_id"], "left_anti").select("graph_id", F.lit("no_way_out"), "node_id"),
         ]
+    if ways_in:
+        ins = edges.select("graph_id", F.col("target").alias("node_id")).distinct()
+        found.append(typed.where("node_type = 'condition'").join(ins, ["graph_id", "node_id"], "left_anti").select("graph_id", F.lit("no_way_in"), "node_id"))
     return reduce(DataFrame.union, found)
 
 

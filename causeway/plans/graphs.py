@@ -79,6 +79,13 @@ def graph_ontology_violations(spark, sf_dir):
     return graphs.ontology_violations(g.nodes, g.written, strict=True).groupBy("graph_id", "rule").agg(F.count("*").alias("items"), F.min("item").alias("first_item"))
 
 
+def graph_strict_audit(spark, sf_dir):
+    """The whole strict audit: the rules of graph_ontology_violations and that every condition has an edge in."""
+    g = load(spark, sf_dir)
+    found = graphs.ontology_violations(g.nodes, g.written, strict=True, ways_in=True)
+    return found.groupBy("graph_id", "rule").agg(F.count("*").alias("items"), F.min("item").alias("first_item"))
+
+
 def graph_validity(spark, sf_dir):
     """Per condition and run: graphs, valid ones, and those with a directed cycle."""
     g = cut(load(spark, sf_dir))
@@ -424,6 +431,7 @@ QUERIES = {
     "graph_parallel_edges": graph_parallel_edges,
     "graph_degree_factors": graph_degree_factors,
     "graph_ontology_violations": graph_ontology_violations,
+    "graph_strict_audit": graph_strict_audit,
     "graph_validity": graph_validity,
     "graph_signature_prf": graph_signature_prf,
     "graph_signature_extra": graph_signature_extra,

@@ -185,3 +185,10 @@ def test_patch_order(spark):
     assert sorted(tuple(r)[1:] for r in after.collect()) == [("En1", "Ev1", "enables"), ("En1", "Ev2", "enables")]
     status = {(r.source, r.target): r.status for r in patch.edge_diff(edges, after).collect()}
     assert status == {("En1", "Ev1"): "changed", ("En1", "Ev2"): "added", ("Ev1", "Ev2"): "deleted"}
+
+
+def test_condition_needs_a_way_in(spark):
+    nodes = spark.createDataFrame([(1, "C1", "condition"), (1, "C2", "condition"), (1, "En1", "entity"), (1, "H1", "hazardconsequence")], "graph_id long, node_id string, node_type string")
+    edges = spark.createDataFrame([(1, 1, "C1", "H1", "enables"), (1, 2, "C2", "H1", "enables"), (1, 3, "En1", "C2", "has")], "graph_id long, pos long, source string, target string, relation string")
+    found = graphs.ontology_violations(nodes, edges, strict=True, ways_in=True).collect()
+    assert [(r.rule, r.item) for r in found] == [("no_way_in", "C1")]
