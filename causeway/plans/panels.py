@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.keys import case_key, difference_bucket, numeric_first
 from causeway.operators import compare, graphs, panel
-from causeway.plans.graphs import NODES_SQL, PRF_SQL, cut, graph_perturb_sweep, load
+from causeway.plans.graphs import (
+    NODES_SQL, PRF_SQL, cut, edges_soft_match, graph_bipartite_ged, graph_perturb_sweep, graph_sentence_cosine, graph_wl_similarity, load, nodes_typed_assignment,
+)
 from causeway.session import durable
 from causeway.sources.tables import table
 
@@ -15,6 +19,11 @@ from causeway.sources.tables import table
 CONDITIONS = ["no_few_shot", "no_revision", "single_pass"]
 RUNS = 5
 METRICS = ["node_f1", "edge_f1"]
+#: All conditions: full_pipeline enters with the runs that aren't the reference graph.
+ALL_CONDITIONS = ["full_pipeline", *CONDITIONS]
+ALL_RUNS = [2, 3, 4, 5]
+#: The nine scores of the family of tests.
+ALL_METRICS = ["edit_similarity", "wl_similarity", *(f"soft_{side}_{m}" for side in ("node", "edge") for m in ("precision", "recall", "f1")), "sentence_cosine"]
 
 
 def scores(spark, sf_dir):
@@ -70,6 +79,35 @@ def panel_bootstrap_dz(spark, sf_dir):
     return panel.bootstrap_dz(durable(panel.differences(scores(spark, sf_dir), "node_f1", CONDITIONS)))
 
 
+def all_scores(spark, sf_dir):
+    """The panel with every score of the graph queries: ``scores`` and the other ``ALL_METRICS``."""
+    rows = scores(spark, sf_dir)
+    for query, named in (
+        (graph_wl_similarity, {"similarity": "wl_similarity"}), (graph_bipartite_ged, {"similarity": "edit_similarity"}), (graph_sentence_cosine, {"cosine": "sentence_cosine"}),
+        *((q, {m: f"soft_{side}_{m}" for m in ("precision", "recall", "f1")}) for side, q in (("node", nodes_typed_assignment), ("edge", edges_soft_match))),
+    ):
+        rows = rows.join(query(spark, sf_dir).select("graph_id", *(F.col(k).alias(v) for k, v in named.items())), "graph_id", "left")
+    return rows
+
+
+def panel_planned_contrasts(spark, sf_dir):
+    """All contrasts of the four conditions for every score, Holm-adjusted as one family."""
+    rows = durable(all_scores(spark, sf_dir))
+    tests = [panel.contrasts(panel.differences(rows, m, ALL_CONDITIONS)).withColumn("metric", F.lit(m)) for m in ALL_METRICS]
+    return panel.holm(reduce(DataFrame.unionByName, tests).withColumn("family", F.lit("panel")), "p", ["family"]).drop("family")
+
+
+def panel_planned_means(spark, sf_dir):
+    """The report means of every score in the four conditions."""
+    rows = durable(all_scores(spark, sf_dir))
+    return reduce(DataFrame.unionByName, (panel.report_means(rows, m, ALL_CONDITIONS).withColumn("metric", F.lit(m)) for m in [*METRICS, *ALL_METRICS]))
+
+
+def panel_planned_anova(spark, sf_dir):
+    """The balanced model of the node score on the runs that all four conditions have."""
+    return panel.balanced_anova(durable(scores(spark, sf_dir).where(F.col("run_no").isin(ALL_RUNS))), "node_f1", ALL_CONDITIONS, len(ALL_RUNS))
+
+
 def panel_quartiles(spark, sf_dir):
     """Quartiles of the edge score by the number of nodes."""
     q = F.percentile("edge_f1", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -249,7 +287,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         panel_rollup, panel_run_summary, panel_report_means, panel_complete_reports, panel_paired_contrasts, panel_p_values, panel_holm,
-        panel_balanced_anova, panel_bootstrap_dz, panel_quartiles, panel_signed_bucket, panel_regression, panel_low_decile, panel_histogram,
+        panel_balanced_anova, panel_bootstrap_dz, panel_planned_contrasts, panel_planned_means, panel_planned_anova, panel_quartiles, panel_signed_bucket, panel_regression, panel_low_decile, panel_histogram,
         panel_kde, panel_monotonicity, panel_audit, panel_key_set_diff, panel_round_pairs, panel_history, panel_top_reports,
         panel_label_frequency, panel_case_order, heldout_documents, heldout_reports, latest_outputs, controls_summary,
         controls_monotonicity,
