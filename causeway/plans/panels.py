@@ -24,6 +24,7 @@ ALL_CONDITIONS = ["full_pipeline", *CONDITIONS]
 ALL_RUNS = [2, 3, 4, 5]
 #: The nine scores of the family of tests.
 ALL_METRICS = ["edit_similarity", "wl_similarity", *(f"soft_{side}_{m}" for side in ("node", "edge") for m in ("precision", "recall", "f1")), "sentence_cosine"]
+RESAMPLES = 10_000
 
 
 def scores(spark, sf_dir):
@@ -90,6 +91,10 @@ def all_scores(spark, sf_dir):
     return rows
 
 
+def _planned(rows, metrics):
+    return reduce(DataFrame.unionByName, (panel.differences(rows, m, ALL_CONDITIONS).withColumn("metric", F.lit(m)) for m in metrics))
+
+
 def panel_planned_contrasts(spark, sf_dir):
     """All contrasts of the four conditions for every score, Holm-adjusted as one family."""
     rows = durable(all_scores(spark, sf_dir))
@@ -108,6 +113,13 @@ def panel_planned_anova(spark, sf_dir):
     return panel.balanced_anova(durable(scores(spark, sf_dir).where(F.col("run_no").isin(ALL_RUNS))), "node_f1", ALL_CONDITIONS, len(ALL_RUNS))
 
 
+def panel_planned_bootstrap(spark, sf_dir):
+    """Intervals of d_z from 10,000 resamples for each contrast of the four conditions in both signature scores."""
+    diffs = durable(_planned(durable(scores(spark, sf_dir)), METRICS))
+    keyed = diffs.select(F.concat_ws("|", "metric", "contrast").alias("contrast"), "report_id", "diff")
+    return panel.bootstrap_dz(keyed, RESAMPLES)
+
+
 def panel_quartiles(spark, sf_dir):
     """Quartiles of the edge score by the number of nodes."""
     q = F.percentile("edge_f1", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -287,7 +299,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         panel_rollup, panel_run_summary, panel_report_means, panel_complete_reports, panel_paired_contrasts, panel_p_values, panel_holm,
-        panel_balanced_anova, panel_bootstrap_dz, panel_planned_contrasts, panel_planned_means, panel_planned_anova, panel_quartiles, panel_signed_bucket, panel_regression, panel_low_decile, panel_histogram,
+        panel_balanced_anova, panel_bootstrap_dz, panel_planned_contrasts, panel_planned_means, panel_planned_anova, panel_planned_bootstrap, panel_quartiles, panel_signed_bucket, panel_regression, panel_low_decile, panel_histogram,
         panel_kde, panel_monotonicity, panel_audit, panel_key_set_diff, panel_round_pairs, panel_history, panel_top_reports,
         panel_label_frequency, panel_case_order, heldout_documents, heldout_reports, latest_outputs, controls_summary,
         controls_monotonicity,
