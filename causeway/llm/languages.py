@@ -202,6 +202,9 @@ def _loss(scores: np.ndarray, y: np.ndarray) -> float:
 def best_path(evidence: np.ndarray) -> np.ndarray:
     """The sequence of languages with the greatest evidence, less ``CHANGE`` for each change."""
     n, k = evidence.shape
+    tops = evidence.argmax(axis=1)
+    if (tops == tops[0]).all():
+        return tops
     score = evidence[0].copy()
     back = np.zeros((n, k), np.int64)
     for i in range(1, n):
@@ -216,7 +219,7 @@ def best_path(evidence: np.ndarray) -> np.ndarray:
     return path
 
 
-SEGMENTS = "segment_no long, lang string, confidence double, start long, letters long"
+SEGMENTS = "segment_no: bigint, lang: string, confidence: double, start: bigint, letters: bigint"
 _SEGMENT_FIELDS = [
     pa.field("segment_no", pa.int64()),
     pa.field("lang", pa.string()),
@@ -274,23 +277,28 @@ def _segments_of(texts: list[str], machine: Machine) -> list[list[tuple]]:
 def labelled_sample(docs: DataFrame) -> list[tuple[str, str]]:
     """At most ``SAMPLE_DOCS`` (text, language) of each language whose label names it, drawn by a hash of the text."""
     labelled = docs.select("text", named_language("lang").alias("named")).where("named is not null and length(text) >= 80")
-    counts = {r["named"]: r["n"] for r in labelled.groupBy("named").agg(F.count("*").alias("n")).collect()}
+    # a group of copies is one text with the label that most of them have, however many rows it holds
+    votes = labelled.groupBy(F.xxhash64("text").alias("key"), "named").agg(F.count("*").alias("n"))
+    votes = votes.groupBy("key").agg(F.max_by("named", F.struct("n", "named")).alias("named"))
+    counts = {r["named"]: r["n"] for r in votes.groupBy("named").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("named") == lang, F.lit(min(1.0, 1.5 * SAMPLE_DOCS / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) / 1e6
-    order = Window.partitionBy("named").orderBy("draw", "text")
-    drawn = labelled.withColumn("draw", draw).where(F.col("draw") < share).withColumn("nth", F.row_number().over(order))
-    rows = drawn.where(F.col("nth") <= SAMPLE_DOCS).select("text", "named").collect()
-    return sorted((r["text"], r["named"]) for r in rows)
+    draw = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1_000_000)) / 1e6
+    order = Window.partitionBy("named").orderBy("draw", "key")
+    drawn = votes.withColumn("draw", draw).where(F.col("draw") < share).withColumn("nth", F.row_number().over(order))
+    drawn = drawn.where(F.col("nth") <= SAMPLE_DOCS).select("key", "named")
+    # the keys are bounded by the sample's size
+    texts = docs.select("text", F.xxhash64("text").alias("key")).join(F.broadcast(drawn), "key").groupBy("key", "named").agg(F.min("text").alias("text"))
+    return sorted((r["text"], r["named"]) for r in texts.collect())
 
 
-def language_segments(docs: DataFrame) -> DataFrame:
-    """doc_id, named (the language that the label names, or null), segment_no, lang, confidence, start, letters.
+def scored_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, named (the language that the label names, or null) and segments, all those of the document in one list.
 
-    Segment 0 is the document's main language by letters; 1, 2, ... are its stretches in reading order. The machine is
-    trained on a bounded sample of the labelled documents (``SAMPLE_DOCS`` of each language). Null, empty and wordless
-    texts give no rows. Without any labelled document nothing can be learned, and there are no rows.
+    One row for each text that isn't null, scored where it lies; the list is empty for texts without words. The machine is
+    trained on a bounded sample of the labelled documents (``SAMPLE_DOCS`` of each language). Without any labelled
+    document nothing can be learned, and all lists are empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs)))
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -298,14 +306,22 @@ def language_segments(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = segments_of(fold_lines(batch.column(2)), shared.value)
-            of = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
             flat = [r for rows in found for r in rows]
-            columns = [pa.array([r[i] for r in flat], f.type) for i, f in enumerate(_SEGMENT_FIELDS)]
-            head = [batch.column(0).take(of), batch.column(1).take(of)]
-            yield pa.RecordBatch.from_arrays([*head, *columns], names=["doc_id", "named", *(f.name for f in _SEGMENT_FIELDS)])
+            items = pa.StructArray.from_arrays([pa.array([r[i] for r in flat], f.type) for i, f in enumerate(_SEGMENT_FIELDS)], fields=_SEGMENT_FIELDS)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), items)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "named", "segments"])
 
     labelled = docs.select("doc_id", named_language("lang").alias("named"), "text").where("text is not null")
-    return labelled.mapInArrow(run, f"doc_id {id_type}, named string, {SEGMENTS}")
+    return labelled.mapInArrow(run, f"doc_id {id_type}, named string, segments array<struct<{SEGMENTS}>>")
+
+
+def language_segments(docs: DataFrame) -> DataFrame:
+    """doc_id, named, segment_no, lang, confidence, start, letters: the rows of ``scored_documents``.
+
+    Segment 0 is the document's main language by letters; 1, 2, ... are its stretches in reading order. Null, empty and
+    wordless texts give no rows.
+    """
+    return scored_documents(docs).select("doc_id", "named", F.inline("segments"))
 
 
 def fold_lines(texts: pa.Array) -> list[str]:
@@ -314,8 +330,12 @@ def fold_lines(texts: pa.Array) -> list[str]:
     return [t.replace("", "\n") for t in fold(kept).to_pylist()]
 
 
-def language_cases(segments: DataFrame) -> DataFrame:
-    """doc_id, segment_no, lang of wrong or missing labels (segment 0) and of the stretches of mixed documents."""
-    mixed = segments.where("segment_no = 2").select("doc_id")
-    wrong = segments.where("segment_no = 0 and (named is null or named <> lang)")
-    return wrong.unionByName(segments.where("segment_no > 0").join(mixed, "doc_id", "left_semi")).select("doc_id", "segment_no", "lang")
+def language_cases(scored: DataFrame) -> DataFrame:
+    """doc_id, segment_no, lang of wrong or missing labels (segment 0) and of the stretches of mixed documents.
+
+    Takes ``scored_documents``; whether a document is mixed stands in its own row, so the corpus is scored once.
+    """
+    wrong = (F.col("named").isNull() | (F.col("named") != F.col("s.lang"))) & (F.col("s.segment_no") == 0)
+    mixed = (F.col("many") > 2) & (F.col("s.segment_no") > 0)
+    rows = scored.select("doc_id", "named", F.size("segments").alias("many"), F.explode("segments").alias("s"))
+    return rows.where(wrong | mixed).select("doc_id", "s.segment_no", "s.lang")

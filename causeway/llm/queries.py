@@ -57,7 +57,7 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages.language_cases(languages.language_segments(table(spark, sf_dir, "documents")))
+    return languages.language_cases(languages.scored_documents(table(spark, sf_dir, "documents")))
 
 
 def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
