@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast. A row of the sides in question (ids, short strings, a few numbers) takes
-#: some hundred bytes at most, so the bound is some ten megabytes.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes up to which a side may be broadcast, and the bytes that a row takes beside its texts and lists.
+BROADCAST_ROWS, BROADCAST_BYTES, ROW_BYTES = 100_000, 32 << 20, 64
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
-    """A local session with the settings that the tests and the bench use."""
+    """A session of one machine with the settings that the tests and the bench use; its checkpoints go when it ends."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("causeway")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
@@ -28,20 +29,32 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the checkpoint folder that all executors share.
+    """Cut the lineage through the checkpoint folder that all executors share, the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests, a folder of
-    this machine is taken.
+    A local master may do without the setting and gets a folder of its own; on a cluster a folder of one machine would be
+    lost with it, so there the setting must be given.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``rows`` rows, else leave the join to Catalyst and AQE.
+    """Mark ``df`` for broadcast if it has at most ``rows`` rows and ``BROADCAST_BYTES`` bytes, else leave the join to Catalyst and AQE.
 
-    Call it with a checkpointed or otherwise cheap ``df``: the check is a count that stops at the bound.
+    Call it with a checkpointed or otherwise cheap ``df``. Rows are counted up to the bound only; the bytes are the
+    lengths of its strings, binaries and arrays (as JSON) with ``ROW_BYTES`` a row for all else.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    grows = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
+    lengths = sum((F.coalesce(_length(df, c), F.lit(0)) for c in grows), F.lit(ROW_BYTES))
+    size = df.limit(rows + 1).select(lengths.alias("n")).agg(F.count("*").alias("rows"), F.sum("n").alias("bytes")).first()
+    return F.broadcast(df) if size.rows <= rows and (size.bytes or 0) <= BROADCAST_BYTES else df
+
+
+def _length(df: DataFrame, name: str) -> Column:
+    plain = df.schema[name].dataType.typeName() in ("string", "binary")
+    return F.octet_length(F.col(f"`{name}`") if plain else F.to_json(F.struct(F.col(f"`{name}`"))))
