@@ -1,46 +1,56 @@
 """Accidents of two sources without a shared key: a cascade of exact joins on ever weaker combinations of attributes.
 
-Both sides are brought to the same attributes: the firm's own name, plant part and kind of event from the title, year,
-month and day, town and region, and the file number. Each rule joins what is still unresolved on a combination of them,
-drops pairs that contradict each other elsewhere, and resolves a record that has one partner left; the next rule sees
-only the rest (an anti-join). The confidence of a pair is the smoothed precision of its rule, measured on the pairs
-whose file numbers tell whether they are right.
+Nothing about firms, places, plants or kinds of accident is written down here; it is learned from the two tables:
+
+- A title's words are names where they keep to few towns (``NAME_TOWNS``, ``NAME_SHARE``), however many records have them,
+  else common.
+- Of common words it is learned which ones translate into each other, on pairs of one file number.
+- How much an agreement or a contradiction says is its frequency among pairs of one file number against chance pairs.
+
+Each rule joins what is still unresolved on a combination of attributes. A pair must say more than chance explains among all
+entries, and a notice is resolved if one partner is better than all others; an anti-join leaves the rest to the next rule.
+The confidence of a pair is its rule's smoothed precision on labelled pairs: those whose file numbers tell whether they are
+right, or, for the rule that joins the numbers, those whose days tell.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.llm.lookalike import one_form
-from causeway.session import durable
-
-# Plant parts, kinds of event with the wordings of headlines, regions, and words that name no firm.
-PARTS = [
-    "loading rack", "heat exchanger", "storage tank", "silo", "dryer", "reactor", "column", "compressor", "furnace", "sphere",
-    "pipeline", "warehouse",
-]
-EVENTS = {
-    "explosion and fire": ["explosion and fire", "fire & explosion", "fire and explosion", "blast with fire", "explosion & fire"],
-    "vapor cloud ignition": ["vapor cloud ignition", "vapour cloud ignition", "vapour cloud ignites", "vapor cloud ignites", "cloud ignition"],
-    "toxic release": ["toxic gas release", "toxic release", "toxic leak", "poisonous cloud"],
-    "chemical spill": ["chemical spill", "spillage", "leak"],
-    "explosion": ["explosion", "explodes", "deflagration", "blast"],
-    "fire": ["fire incident", "fire", "blaze", "burns"],
-}
-REGIONS = {
-    "valmora": "vl", "north verrin": "nv", "lothmere": "lm", "estmark": "em", "tarrow": "tw", "south pelham coast": "sp", "oskany": "ok",
-    "brennia": "bn", "harsk": "hk", "westfall": "wf", "upper dalby": "ud", "quarrin": "qr", "mirrowdale": "md", "iskander plain": "ip",
-    "cardell": "cd", "zennora": "zn",
+from causeway.session import broadcast_if_small, durable
+
+#: Towns that a name keeps to at most, as an effective number, or this share of all towns; a frequent firm stays a name.
+NAME_TOWNS, NAME_SHARE = 4.0, 0.002
+#: Share of the pairs with a word in which its translation stands at least, and how much more than in all pairs.
+TRANSLATED, LIFT = 0.8, 1.5
+#: Days by which the dates of one accident may differ.
+DAYS = 2
+#: Bounds of what is learned from: pairs of one number, chance pairs; and labelled notices that each rule is measured on.
+SEEDS, CHANCE, LABELLED = 50_000, 200_000, 20_000
+#: Bits that a pair must say beyond chance among all entries, and beyond a notice's second partner.
+MARGIN, LEAD = 0.0, 1.0
+# Beginnings of the names of months in English, German, French, Spanish, Portuguese and Dutch.
+MONTHS = {
+    1: ["jan", "jän", "ene"], 2: ["feb", "fév", "fev"], 3: ["mar", "mär", "maa", "mrt"], 4: ["apr", "avr", "abr"], 5: ["may", "mai", "mei"],
+    6: ["jun", "juin"], 7: ["jul", "juil"], 8: ["aug", "aoû", "aou", "ago"], 9: ["sep", "set"], 10: ["oct", "okt", "out"], 11: ["nov"], 12: ["dec", "dez", "déc", "dic"],
+}
+# Words before a place's name.
+BEFORE_PLACE = ["near", "in", "at", "of", "outside", "off"]
+# Shares assumed of pairs of one accident and of chance pairs while few are seen (``ASSUMED`` pairs' worth), by attribute and outcome.
+ASSUMED = 20
+EXPECTED = {
+    "name": {"same": (0.7, 0.01), "near": (0.2, 0.01), "none": (0.1, 0.98)},
+    "town": {"same": (0.8, 0.02), "near": (0.1, 0.01), "none": (0.1, 0.97)},
+    "region": {"same": (0.95, 0.1), "none": (0.05, 0.9)},
+    "date": {"day": (0.5, 0.003), "days": (0.1, 0.01), "month": (0.2, 0.02), "year": (0.15, 0.05), "none": (0.05, 0.917)},
+    "words": {"one": (0.3, 0.1), "two": (0.3, 0.03), "more": (0.3, 0.01), "some": (0.05, 0.3), "none": (0.05, 0.56)},
+    "number": {"same": (0.9, 0.001), "digits": (0.05, 0.001)},
 }
-TRADES = [
-    "agrochem", "biofuels", "chemicals", "coatings", "energy", "explosives", "fertilisers", "foods", "gases", "metals", "petrochem", "pharma",
-    "plastics", "polymers", "pulp", "refining", "resins", "solvents", "storage", "terminals",
-]
-NO_NAMES = ["at", "in", "of", "the", "a", "industrial", "chemical", "plant", "inc", "ltd", "holding", "group", "and", "with", "company", "co"]
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
 def _plain(text: str) -> Column:
@@ -48,40 +58,11 @@ def _plain(text: str) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.lower(one_form(text)), r"\s+", " ")), F.lit(""))
 
 
-def _first_of(text: Column, words: dict[str, list[str]]) -> Column:
-    """The class of which a wording stands in the text; the classes are tried in order."""
-    tests = [F.when(text.rlike(r"(?<!\p{L})(" + "|".join(ways) + r")(?!\p{L})"), F.lit(name)) for name, ways in words.items()]
-    return F.coalesce(*tests)
-
-
-def _without(text: Column, words: list[str]) -> Column:
-    return F.regexp_replace(text, r"(?<!\p{L})(" + "|".join(sorted(words, key=len, reverse=True)) + r")(?!\p{L})", " ")
-
-
-def title_parts(title: Column) -> dict[str, Column]:
-    """Firm name, trade, plant part and kind of event of a title or headline."""
-    event_words = [w for ways in EVENTS.values() for w in ways]
-    trades = [t[:4] + r"\p{L}*\.?" for t in TRADES]
-    place = title.rlike(r"^industrial .* in ")
-    bare = _without(_without(_without(title, event_words), PARTS), NO_NAMES)
-    trade = F.regexp_extract(bare, r"(?<!\p{L})(" + "|".join(t[:4] for t in TRADES) + ")", 1)
-    joined = r"^(\p{L}{5,}?)(" + "|".join(TRADES) + ")$"
-    names = F.split(F.trim(F.regexp_replace(_without(bare, trades), r"[^\p{L}]+", " ")), " ")
-    name = F.filter(names, lambda w: F.length(w) >= 4)
-    return {
-        "name": F.when(~place, F.regexp_replace(F.get(name, F.lit(0)), joined, "$1")),
-        "trade": F.nullif(trade, F.lit("")),
-        "part": _first_of(title, {p: [p] for p in PARTS}),
-        "event": _first_of(title, EVENTS),
-    }
-
-
 def date_parts(text: Column) -> dict[str, Column]:
     """Year, month and day of the ways to write a date, each null where not given. Numbers with slashes are month/day/year."""
     number = lambda pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).cast("int")
-    word = F.lower(F.regexp_extract(text, r"(?i)(\p{L}{3})\p{L}*", 1))
-    at = F.instr(F.lit(MONTHS), word)
-    named = F.when((F.length(word) == 3) & (at % 3 == 1), ((at + 2) / 3).cast("int"))
+    word = F.lower(F.regexp_extract(text, r"(\p{L}{3,})", 1))
+    named = F.coalesce(*(F.when(word.rlike("^(" + "|".join(ways) + ")"), m) for m, ways in MONTHS.items()))
     iso, run, slash = r"^(\d{4})-(\d{1,2})-(\d{1,2})", r"^(\d{4})(\d\d)(\d\d)$", r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
     year = F.coalesce(number(iso, 1), number(run, 1), number(slash, 3), number(r"(?<!\d)(\d{4})(?!\d)", 1))
     month = F.coalesce(number(iso, 2), number(run, 2), number(slash, 1), named)
@@ -90,156 +71,186 @@ def date_parts(text: Column) -> dict[str, Column]:
 
 
 def place_parts(place: Column) -> dict[str, Column]:
-    """Town and region code of a place."""
-    codes = F.create_map(*(F.lit(x) for pair in {**REGIONS, **{c: c for c in REGIONS.values()}}.items() for x in pair))
-    bare = F.regexp_replace(place, r"^near ", "")
-    split = F.regexp_extract(bare, r"^(.*?)\s*[,(]\s*([^)]*?)\s*\)?$", 1)
-    last = F.regexp_extract(bare, r"^(.*?)\s*[,(]\s*([^)]*?)\s*\)?$", 2)
-    alone = F.try_element_at(codes, bare)
-    town = F.when(split != "", split).when(alone.isNull(), bare)
-    return {"town": F.nullif(F.regexp_replace(town, r"[^\p{L}]", ""), F.lit("")), "region": F.coalesce(alone, F.try_element_at(codes, last))}
+    """Town and region of a place: what stands before a comma or bracket, and what after; one part alone is the town."""
+    bare = F.regexp_replace(place, "^(" + "|".join(BEFORE_PLACE) + ") ", "")
+    split = r"^(.*?)\s*[,(]\s*([^)]*?)\s*\)?$"
+    letters = lambda c: F.nullif(F.regexp_replace(c, r"[^\p{L}]", ""), F.lit(""))
+    parted = bare.rlike(split)
+    return {"town": letters(F.when(parted, F.regexp_extract(bare, split, 1)).otherwise(bare)), "region": letters(F.when(parted, F.regexp_extract(bare, split, 2)))}
 
 
 def number_parts(text: Column) -> dict[str, Column]:
-    """File number as year-number-kind-region, and its year and number alone."""
-    whole, turned, short = (
-        r"(\d{4})[-/ ](\d{1,3})[-/ ]([a-z])[-/ ]([a-z]{2})(?!\p{L})",
-        r"(?<!\p{L})([a-z])-([a-z]{2}) (\d{4})-(\d{1,3})",
-        r"^(\d{4})(\d{2})inv$",
-    )
-    get = lambda p, k: F.nullif(F.regexp_extract(text, p, k), F.lit(""))
-    two = lambda c: F.lpad(c, 2, "0")
-    number = F.coalesce(
-        F.concat_ws("-", get(whole, 1), two(get(whole, 2)), get(whole, 3), get(whole, 4)),
-        F.lit(""),
-    )
-    turned_number = F.concat_ws("-", get(turned, 3), two(get(turned, 4)), get(turned, 1), get(turned, 2))
-    number = F.nullif(F.when(number != "", number).otherwise(turned_number), F.lit(""))
-    return {
-        "number": number,
-        "series": F.coalesce(F.substring(number, 1, 7), F.nullif(F.concat_ws("-", get(short, 1), get(short, 2)), F.lit(""))),
-    }
+    """The digits of a file number in a row, at least five, and its groups of letters."""
+    digits = F.regexp_replace(text, r"\D", "")
+    letters = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1)))
+    return {"digits": F.when(F.length(digits) >= 5, digits), "letters": F.when(F.length(digits) >= 5, F.coalesce(letters, F.expr("cast(array() as array<string>)")))}
 
 
 def attributes(rows: DataFrame, id_col: str, title: str, date: str, place: str, number: Column) -> DataFrame:
-    """The attributes of both sides, one row for each id: exact copies collapse, the least row of an id is taken."""
+    """The attributes of both sides, one row for each id: exact copies collapse, the least row of an id is taken.
+
+    Gives title words, town, region, low and high (the first and last day that the date can mean), digits and letters.
+    """
     plain = rows.select(id_col, _plain(title).alias("_t"), _plain(date).alias("_d"), _plain(place).alias("_p"), number.alias("_n"))
     plain = plain.where(F.col(id_col).isNotNull()).withColumn("_n", _plain("_n"))
-    t, d, p, n = (F.col(c) for c in ("_t", "_d", "_p", "_n"))
-    parts = {**title_parts(t), **date_parts(d), **place_parts(p), **number_parts(n)}
+    words = F.filter(F.array_distinct(F.split(F.col("_t"), r"[^\p{L}]+")), lambda w: F.length(w) >= 3)
+    parts = {"title": words, **date_parts(F.col("_d")), **place_parts(F.col("_p")), **number_parts(F.col("_n"))}
     cols = plain.select(id_col, *(c.alias(k) for k, c in parts.items()))
-    return cols.groupBy(id_col).agg(F.min_by(F.struct(*parts), F.to_json(F.struct(*parts))).alias("a")).select(id_col, "a.*")
-
-
-def _near(a: str, b: str, most: int = 2) -> Column:
-    """The texts differ by at most ``most`` letters."""
-    return (F.levenshtein(F.col(a), F.col(b)) <= most) & (F.least(F.length(a), F.length(b)) >= 4)
-
-
-def dated(rows: DataFrame) -> DataFrame:
-    """Add low and high, the first and last day that the date of a row can mean."""
+    one = cols.groupBy(id_col).agg(F.min_by(F.struct(*parts), F.to_json(F.struct(*parts))).alias("a")).select(id_col, "a.*")
     first = lambda m, d: F.expr(f"cast(try_make_timestamp(year, {m}, {d}, 0, 0, 0) as date)")
     low = F.coalesce(first("month", "day"), F.when(F.col("day").isNull(), first("month", 1)), F.when(F.col("month").isNull(), first(1, 1)))
     high = F.coalesce(first("month", "day"), F.when(F.col("day").isNull(), F.last_day(first("month", 1))), F.when(F.col("month").isNull(), first(12, 31)))
-    return rows.withColumns({"low": low, "high": high})
+    return one.withColumns({"low": low, "high": high}).drop("year", "month", "day")
 
 
-def judged(pairs: DataFrame) -> DataFrame:
-    """What the attributes of a pair (e_ and n_ columns) say.
+def common_words(records: DataFrame) -> DataFrame:
+    """word: title words that stand with more towns than a name does. Counts are by word and town first."""
+    pairs = records.where("town is not null").select(F.explode("title").alias("word"), "town").groupBy("word", "town").agg(F.count("*").cast("double").alias("n"))
+    spread = F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))
+    towns = records.agg(F.greatest(F.lit(NAME_TOWNS), NAME_SHARE * F.count_distinct("town")).alias("most"))
+    return pairs.groupBy("word").agg(spread.alias("towns")).crossJoin(F.broadcast(towns)).where("towns > most").select("word")
 
-    same_* are agreements, against counts contradictions, support the agreements besides, strength ranks the partners.
-    """
-    same = lambda c: F.coalesce(F.col(f"e_{c}") == F.col(f"n_{c}"), F.lit(False))
-    differ = lambda c: F.coalesce(F.col(f"e_{c}") != F.col(f"n_{c}"), F.lit(False))
-    near = lambda c: F.coalesce(_near(f"e_{c}", f"n_{c}"), F.lit(False))
-    meet = (F.col("n_low") <= F.date_add("e_high", DAYS)) & (F.col("n_high") >= F.date_sub("e_low", DAYS))
-    judged = pairs.withColumns(
-        {
-            "same_name": same("name") | near("name"),
-            "same_town": same("town") | near("town"),
-            "same_region": same("region"),
-            "same_trade": same("trade"),
-            "same_part": same("part"),
-            "same_event": same("event"),
-            "same_date": F.coalesce(meet, F.lit(False)),
-            "exact_day": F.coalesce(meet & (F.col("n_day").isNotNull() & F.col("e_day").isNotNull()), F.lit(False)),
-            "same_number": same("number"),
-            "same_series": same("series"),
-            "against": (differ("name") & ~near("name")).cast("int")
-            + (differ("town") & ~near("town")).cast("int")
-            + (differ("region") & ~same("town")).cast("int")
-            + differ("trade").cast("int")
-            + differ("part").cast("int")
-            + differ("event").cast("int")
-            + F.coalesce(~meet, F.lit(False)).cast("int")
-            + differ("series").cast("int"),
-        }
-    )
-    weights = {"number": 4, "series": 2, "name": 2, "town": 1, "region": 1, "trade": 1, "part": 1, "event": 1, "date": 1}
-    support = " + ".join(f"int(same_{c})" for c in weights)
-    strength = " + ".join(f"{w} * int(same_{c})" for c, w in weights.items())
-    return judged.withColumns(
-        {"support": F.expr(support), "strength": F.expr(f"{strength} + int(exact_day) + int(e_name <=> n_name) - 3 * against")}
+
+def told_apart(records: DataFrame, id_col: str, common: DataFrame, regions: DataFrame) -> DataFrame:
+    """Title words as names and common words; a town that others write as a region is one."""
+    words = records.select(id_col, F.explode("title").alias("word")).join(broadcast_if_small(common.withColumn("common", F.lit(True))), "word", "left")
+    sides = words.groupBy(id_col).agg(
+        F.sort_array(F.collect_list(F.when(F.col("common").isNull() & (F.length("word") >= 4), F.col("word")))).alias("names"),
+        F.sort_array(F.collect_list(F.when(F.col("common"), F.col("word")))).alias("words"),
     )
+    known = regions.select(F.col("region").alias("town"), F.lit(True).alias("is_region"))
+    told = records.drop("title").join(sides, id_col, "left").join(broadcast_if_small(known), "town", "left")
+    empty = F.expr("cast(array() as array<string>)")
+    return told.select(
+        id_col, F.coalesce("names", empty).alias("names"), F.coalesce("words", empty).alias("words"), F.when(F.col("is_region").isNull(), F.col("town")).alias("town"),
+        F.when(F.col("is_region"), F.col("town")).otherwise(F.col("region")).alias("region"), "low", "high", "digits", "letters",
+    )
 
 
-#: Days by which the dates of one accident may differ.
-DAYS = 2
-#: The rules by tier: name, joined attributes, and what a pair must fulfil besides.
-TIERS: list[list[tuple[str, list[str], str]]] = [
-    [
-        ("number", ["number"], "against <= 1 and (same_name or same_town or same_date) or against = 0 and (same_event or same_part)"),
-        ("series and name", ["series", "name"], "against <= 1"),
-        ("series and town", ["series", "town"], "against <= 1"),
-        ("series and region", ["series", "region"], "against = 0 and support >= 4"),
-    ],
-    [
-        ("name and day", ["name", "at_day"], "against <= 1"),
-        ("town and day", ["town", "at_day"], "against = 0"),
-        ("head of name and day", ["name_head", "at_day"], "against <= 1 and same_name and support >= 3"),
-        ("tail of name and day", ["name_tail", "at_day"], "against <= 1 and same_name and support >= 3"),
-        ("head of town and day", ["town_head", "at_day"], "against = 0 and same_town and support >= 3"),
-        ("tail of town and day", ["town_tail", "at_day"], "against = 0 and same_town and support >= 3"),
-    ],
-    [
-        ("name and month", ["name", "at_month"], "against = 0"),
-        ("head of name and month", ["name_head", "at_month"], "against = 0 and same_name and support >= 4"),
-        ("tail of name and month", ["name_tail", "at_month"], "against = 0 and same_name and support >= 4"),
-        ("town, event and month", ["town", "event", "at_month"], "against = 0"),
-        ("town, part and month", ["town", "part", "at_month"], "against = 0"),
-    ],
-    [
-        ("name and year", ["name", "at_year"], "against = 0 and support >= 3"),
-        ("head of name and year", ["name_head", "at_year"], "against = 0 and same_name and support >= 5"),
-        ("tail of name and year", ["name_tail", "at_year"], "against = 0 and same_name and support >= 5"),
-        ("town, event and year", ["town", "event", "at_year"], "against = 0 and support >= 4"),
-        ("name, town and event", ["name", "town", "event"], "against = 0"),
-        ("name and event", ["name", "event"], "against = 0 and support >= 3"),
-    ],
-]
-_DERIVED = {"name_head": "left(name, 4)", "name_tail": "right(name, 5)", "town_head": "left(town, 4)", "town_tail": "right(town, 5)"}
+def _near(a: Column, b: Column) -> Column:
+    """The texts differ by two letters at most, or the longer one begins with the other."""
+    few = (F.levenshtein(a, b) <= 2) & (F.least(F.length(a), F.length(b)) >= 5)
+    return few | (F.least(F.length(a), F.length(b)) >= 5) & (a.startswith(b) | b.startswith(a))
 
 
-def _keyed(rows: DataFrame, rules: list[tuple[str, list[str], str]], spread: bool) -> DataFrame:
-    """A row for each rule whose attributes the record has, with the rule's number and its key.
+def _any_near(a: str, b: Column | str) -> Column:
+    return F.exists(a, lambda x: F.exists(b, lambda y: _near(x, y)))
 
-    With ``spread`` the key is made for each day, month or year that a date within ``DAYS`` days can give.
-    """
+
+def _short_for(a: Column, b: Column) -> Column:
+    """Equal, or one is short for the other: the same first letter, and its letters stand in the other in their order."""
+    within = lambda s, t: F.regexp_like(t, F.concat(F.lit("^"), F.regexp_replace(s, r"(\p{L})", "$1.*")))
+    return (a == b) | within(a, b) | within(b, a)
+
+
+def outcomes() -> dict[str, Column]:
+    """What each attribute of a pair (e_ and n_ columns, translations to_n and to_e) says; null where a side lacks it."""
+    e, n = (lambda c: F.col(f"e_{c}")), (lambda c: F.col(f"n_{c}"))
+    town = F.when(e("town").isNotNull(), F.array("e_town")).otherwise(F.expr("cast(array() as array<string>)"))
+    told = F.exists("n_names", lambda x: F.exists(town, lambda y: _near(x, y)))
+    name = (
+        F.when(F.arrays_overlap("e_names", "n_names"), "same")
+        .when(_any_near("e_names", "n_names"), "near")
+        .when((F.size("e_names") > 0) & (F.size("n_names") > 0) & ~told, "none")
+    )
+    place = (
+        F.when((e("town") == n("town")) | F.array_contains("n_names", e("town")), "same")
+        .when(_near(e("town"), n("town")) | told, "near")
+        .when(e("town").isNotNull() & n("town").isNotNull(), "none")
+    )
+    day = (e("low") == e("high")) & (n("low") == n("high"))
+    meet = (n("low") <= F.date_add("e_high", DAYS)) & (n("high") >= F.date_sub("e_low", DAYS))
+    month = F.datediff(n("high"), n("low")) < 31
+    date = (
+        F.when(day & (e("low") == n("low")), "day").when(day & meet, "days").when(meet & month, "month").when(meet, "year")
+        .when(e("low").isNotNull() & n("low").isNotNull(), "none")
+    )
+    agreed, told_words = F.size(F.filter("n_to", lambda t: F.arrays_overlap(t, F.col("e_words")))), F.size("n_to")
+    back, told_back = F.size(F.filter("e_to", lambda t: F.arrays_overlap(t, F.col("n_words")))), F.size("e_to")
+    whole = (agreed == told_words) & ((back == told_back) | (F.size("n_words") == 0))
+    words = (
+        F.when(told_words == 0, None).when(whole & (agreed == 1), "one").when(whole & (agreed == 2), "two").when(whole, "more")
+        .when(agreed > 0, "some").otherwise("none")
+    )
+    all_letters = F.forall("e_letters", lambda x: F.array_contains("n_letters", x))
+    number = F.when((e("digits") == n("digits")) & all_letters, "same").when(e("digits") == n("digits"), "digits")
+    return {"name": name, "town": place, "region": F.when(_short_for(e("region"), n("region")), "same").when(e("region").isNotNull() & n("region").isNotNull(), "none"), "date": date, "words": words, "number": number}
+
+
+def translations(pairs: DataFrame, of: str, into: str) -> DataFrame:
+    """word, into: the words of the other side that stand in nearly all pairs with the word, and more than anywhere."""
+    total = pairs.agg(F.count("*").alias("total"))
+    both = pairs.select(F.explode(of).alias("word"), into).select("word", F.explode(into).alias("into")).groupBy("word", "into").agg(F.count("*").alias("n"))
+    own = pairs.select(F.explode(of).alias("word")).groupBy("word").agg(F.count("*").alias("of"))
+    base = pairs.select(F.explode(into).alias("into")).groupBy("into").agg(F.count("*").alias("all"))
+    share = F.col("n") / F.col("of")
+    kept = both.join(own, "word").join(base, "into").crossJoin(F.broadcast(total)).where((F.col("of") >= 5) & (share >= TRANSLATED) & (share >= LIFT * F.col("all") / F.col("total")))
+    return kept.groupBy("word").agg(F.array_sort(F.collect_list("into")).alias("into"))
+
+
+def _sided(rows: DataFrame, side: str, id_col: str) -> DataFrame:
+    return rows.select(id_col, *(F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != id_col))
+
+
+def _translated(rows: DataFrame, id_col: str, table: DataFrame) -> DataFrame:
+    """Add ``to``: for each word with translations, the list of them."""
+    found = rows.select(id_col, F.explode("words").alias("word")).join(broadcast_if_small(table), "word").groupBy(id_col).agg(F.collect_list("into").alias("to"))
+    return rows.join(found, id_col, "left").withColumn("to", F.coalesce("to", F.expr("cast(array() as array<array<string>>)")))
+
+
+def _weights(pairs: DataFrame, chance: DataFrame) -> dict[str, dict[str, float]]:
+    """Bits for each attribute and outcome, from counts among pairs of one accident and chance pairs: a table of fixed size."""
+    counted: dict[tuple[int, str, str], int] = {}
+    for k, side in enumerate((pairs, chance)):
+        stacked = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), c.alias("o")) for a, c in outcomes().items()))).alias("x")
+        for r in side.select(stacked).where("x.o is not null").groupBy("x.a", "x.o").agg(F.count("*").alias("n")).collect():
+            counted[k, r.a, r.o] = r.n
+    bits: dict[str, dict[str, float]] = {}
+    for attribute, expected in EXPECTED.items():
+        if attribute == "number":  # the pairs learned from are those of one number
+            counted = {k: n for k, n in counted.items() if k[1] != attribute}
+        totals = [sum(counted.get((k, attribute, o), 0) for o in expected) + ASSUMED for k in (0, 1)]
+        shares = {o: [(counted.get((k, attribute, o), 0) + ASSUMED * e[k]) / totals[k] for k in (0, 1)] for o, e in expected.items()}
+        bits[attribute] = {o: math.log2(a / b) for o, (a, b) in shares.items()}
+    return bits
+
+
+#: The rules in order: name and keys. A key is made of parts; with a date part its day, month or year must be known.
+RULES: list[tuple[str, list[str]]] = [
+    ("number", ["digits"]),
+    ("name and day", ["name", "day"]),
+    ("town and day", ["town", "day"]),
+    ("part of name and day", ["name_part", "day"]),
+    ("part of town and day", ["town_part", "day"]),
+    ("name and month", ["name", "month"]),
+    ("town and month", ["town", "month"]),
+    ("part of name and month", ["name_part", "month"]),
+    ("name and year", ["name", "year"]),
+    ("part of name and year", ["name_part", "year"]),
+    ("town, word and year", ["town", "word", "year"]),
+    ("name and word", ["name", "word"]),
+]
+_EMPTY = "cast(array() as array<string>)"
+
+
+def _keys(parts: list[str], spread: bool) -> str:
+    """SQL of the keys of a record for a rule; ``spread`` makes them for each day, month or year that is near enough."""
     days = f"sequence(date_sub(low, {DAYS}), date_add(high, {DAYS}))" if spread else "array(low)"
-    exact = "low is not null and low = high"
-    dates = {
-        "at_day": f"if({exact}, transform({days}, d -> string(d)), array())",
-        "at_month": f"if(month is not null and low is not null, array_distinct(transform({days}, d -> date_format(d, 'yyyy-MM'))), array())",
-        "at_year": f"if(low is not null, array_distinct(transform({days}, d -> string(year(d)))), array())",
+    made = {
+        "digits": f"if(digits is null, {_EMPTY}, array(digits))",
+        "name": "names",
+        "town": f"if(town is null, {_EMPTY}, array(town))",
+        "name_part": "flatten(transform(filter(names, x -> length(x) >= 5), x -> array(concat('<', left(x, 5)), concat('>', right(x, 5)))))",
+        "town_part": f"if(length(town) >= 5, array(concat('<', left(town, 5)), concat('>', right(town, 5))), {_EMPTY})",
+        "word": "words" if spread else "array_distinct(flatten(to))",
+        "day": f"if(low = high, transform({days}, d -> string(d)), {_EMPTY})",
+        "month": f"if(datediff(high, low) < 31, array_distinct(transform({days}, d -> date_format(d, 'yyyy-MM'))), {_EMPTY})",
+        "year": f"if(low is null, {_EMPTY}, array_distinct(transform({days}, d -> string(year(d)))))",
     }
-    made = []
-    for no, (_, columns, _) in enumerate(rules):
-        plain = [_DERIVED.get(c, c) for c in columns if c not in dates]
-        lists = [dates[c] for c in columns if c in dates]
-        present = " and ".join(f"{c} is not null" for c in plain)
-        key = f"concat_ws('|', '{no}', {', '.join(plain)})"
-        made.append(f"if({present}, transform({lists[0] if lists else 'array(cast(null as string))'}, d -> concat_ws('|', {key}, d)), array())")
-    return rows.withColumn("key", F.explode(F.expr(f"concat({', '.join(made)})"))).withColumn("rule_no", F.split("key", r"\|")[0].cast("int"))
+    keys = made[parts[0]]
+    for part in parts[1:]:
+        keys = f"flatten(transform({keys}, a -> transform(coalesce({made[part]}, {_EMPTY}), b -> concat_ws('|', a, b))))"
+    return f"array_distinct({keys})"
 
 
 def match(entries: DataFrame, notices: DataFrame) -> DataFrame:
@@ -247,50 +258,66 @@ def match(entries: DataFrame, notices: DataFrame) -> DataFrame:
 
     A notice has at most one entry, an entry may have several notices. Rows without an id and rows without attributes
     match nothing; a rule skips rows that lack one of its attributes. A tie of several entries resolves nothing, and
-    the notice stays open for the later rules. Notices with a file number stay in the joins to measure the precision of
-    the later rules, but aren't resolved again.
+    the notice stays open for the later rules. Keys and ids alone go through a rule's join; a hot name or town is split
+    by the key's date or word.
     """
-    entries = dated(entries.withColumn("year", F.coalesce("year", F.substring("series", 1, 4).cast("int"))))
-    entries, notices = durable(entries), durable(dated(notices).withColumn("open", F.lit(True)))
-    found: list[DataFrame] = []
-    tried: list[DataFrame] = []
-    for tier, rules in enumerate(TIERS):
-        left, right = _keyed(entries, rules, True), _keyed(notices, rules, False)
-        left = left.select("entry_id", "key", *(F.col(c).alias(f"e_{c}") for c in entries.columns if c != "entry_id"))
-        right = right.select("notice_id", "key", "rule_no", "open", *(F.col(c).alias(f"n_{c}") for c in notices.columns if c not in ("notice_id", "open")))
-        pairs = judged(left.join(right, "key"))
-        fits = reduce(lambda a, b: a | b, [(F.col("rule_no") == no) & F.expr(f"({condition})") for no, (_, _, condition) in enumerate(rules)])
-        told = F.col("n_number").isNotNull() & F.col("e_number").isNotNull()
-        # of the partners that a rule gives a notice, the strongest, if it is the only one
-        top = (
-            pairs.where(fits)
-            .groupBy("notice_id", "rule_no", "strength")
-            .agg(
-                F.min("entry_id").alias("entry_id"),
-                F.max("entry_id").alias("other_id"),
-                F.max(told).alias("told"),
-                F.max("same_number").alias("right"),
-                F.first("open").alias("open"),
-            )
-            .groupBy("notice_id", "rule_no")
-            .agg(F.max_by(F.struct("entry_id", "other_id", "told", "right", "open"), "strength").alias("best"))
-            .select("notice_id", "rule_no", "best.*")
-            .where("entry_id = other_id")
-            .withColumn("tier", F.lit(tier))
-        )
-        top = durable(top)
-        tried.append(top)
-        hit = top.where("open").groupBy("notice_id").agg(F.min_by(F.struct("entry_id", "tier", "rule_no"), "rule_no").alias("hit"))
-        hit = hit.select("notice_id", "hit.*")
-        found.append(hit)
-        closed = hit.select("notice_id", F.lit(False).alias("hit_open"))
-        notices = notices.join(closed, "notice_id", "left").withColumn("open", F.coalesce("hit_open", "open")).drop("hit_open")
-        notices = durable(notices.where("open or number is not null"))
-    pairs = reduce(DataFrame.unionByName, found)
-    told = F.count_if("told")
-    sure = reduce(DataFrame.unionByName, tried).groupBy("tier", "rule_no").agg(((F.count_if(F.col("told") & F.col("right")) + 1) / (told + 2)).alias("confidence"))
-    names = F.array(*(F.array(*(F.lit(rule) for rule, _, _ in rules)) for rules in TIERS))
-    return pairs.join(F.broadcast(sure), ["tier", "rule_no"]).select("entry_id", "notice_id", names[F.col("tier")][F.col("rule_no")].alias("rule"), "confidence")
+    entries, notices = durable(entries), durable(notices)
+    records = entries.select("title", "town").unionByName(notices.select("title", "town"))
+    regions = durable(entries.select("region", "town").unionByName(notices.select("region", "town")).where("region is not null and town is not null").select("region").distinct())
+    common = durable(common_words(records))
+    entries, notices = durable(told_apart(entries, "entry_id", common, regions)), durable(told_apart(notices, "notice_id", common, regions))
+
+    # agencies number their own files, so only a number that some entry has tells
+    numbered = entries.where("digits is not null").select("digits").distinct().withColumn("numbered", F.lit(True))
+    notices = durable(notices.join(broadcast_if_small(durable(numbered)), "digits", "left").na.fill(False, ["numbered"]))
+    # pairs whose file number has one entry only teach translations and weights
+    by_number = entries.where("digits is not null").groupBy("digits", "letters").agg(F.count("*").alias("n"), F.min("entry_id").alias("entry_id")).where("n = 1")
+    seeds = notices.where("digits is not null").select("notice_id", "digits", F.col("letters").alias("n_letters")).join(by_number, "digits")
+    seeds = seeds.where(F.forall("letters", lambda x: F.array_contains("n_letters", x))).select("entry_id", "notice_id")
+    seeds = durable(seeds.orderBy(F.xxhash64("notice_id")).limit(SEEDS))
+    told = seeds.join(entries.select("entry_id", F.col("words").alias("e_words")), "entry_id").join(notices.select("notice_id", F.col("words").alias("n_words")), "notice_id")
+    to_entry, to_notice = durable(translations(told, "n_words", "e_words")), durable(translations(told, "e_words", "n_words"))
+    entries, notices = durable(_translated(entries, "entry_id", to_notice)), durable(_translated(notices, "notice_id", to_entry))
+    e_side, n_side = _sided(entries, "e", "entry_id"), _sided(notices, "n", "notice_id")
+    e_side, n_side = broadcast_if_small(e_side), broadcast_if_small(n_side)
+
+    def attributed(pairs: DataFrame) -> DataFrame:
+        return pairs.join(e_side, "entry_id").join(n_side, "notice_id")
+
+    total = entries.count()
+    parts = max(1, math.ceil(total * notices.count() / CHANCE))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    chance = entries.select("entry_id", part("entry_id").alias("part")).join(notices.select("notice_id", part("notice_id").alias("part")), "part").drop("part")
+    bits = _weights(attributed(seeds), attributed(chance))
+    said = sum((reduce(lambda w, o: w.when(F.col(a) == o, bits[a][o]), bits[a], F.when(F.lit(False), 0.0)).otherwise(0.0) for a in bits), F.lit(0.0))
+    least = math.log2(max(total, 1)) + MARGIN
+
+    status, resolved = notices.select("notice_id", F.lit(True).alias("open"), "low", "high", "digits", "names", "town", "words", "to"), []
+    labelled = None
+    for no, (rule, key) in enumerate(RULES):
+        asked = status if labelled is None else status.unionByName(labelled)
+        left = entries.select("entry_id", F.explode(F.expr(_keys(key, True))).alias("key"))
+        right = asked.select("notice_id", "open", F.explode(F.expr(_keys(key, False))).alias("key"))
+        pairs = attributed(left.join(right, "key").select("entry_id", "notice_id", "open").distinct())
+        days_known = (F.col("e_low") == F.col("e_high")) & (F.col("n_low") == F.col("n_high"))
+        found = pairs.select("entry_id", "notice_id", "open", days_known.alias("days_known"), "n_numbered", *(c.alias(a) for a, c in outcomes().items()))
+        known, right_ = (F.col("days_known"), F.col("date").isin("day", "days")) if no == 0 else (F.col("n_numbered"), F.col("number").isNotNull())
+        scored = found.select("entry_id", "notice_id", "open", F.round(said, 6).alias("bits"), F.coalesce(known, F.lit(False)).alias("known"), F.coalesce(right_, F.lit(False)).alias("right"))
+        order = Window.partitionBy("notice_id", "open").orderBy(F.desc("bits"), "entry_id")
+        ranked = scored.where(F.col("bits") >= least).withColumns({"nth": F.row_number().over(order), "second": F.lead("bits").over(order)})
+        best = ranked.where("nth = 1").where(F.col("second").isNull() | (F.col("bits") - F.col("second") >= LEAD))
+        best = durable(best.select("notice_id", "open", "entry_id", "known", "right", F.lit(no).alias("rule_no")))
+        resolved.append(best)
+        hit = best.where("open").select("notice_id")
+        status = durable(status.join(hit, "notice_id", "left_anti"))
+        if no == 0:
+            known_ones = hit.orderBy(F.xxhash64("notice_id")).limit(LABELLED)
+            labelled = durable(notices.join(known_ones, "notice_id", "left_semi").select(*(F.lit(False).alias("open") if c == "open" else c for c in status.columns)))
+    tried = durable(reduce(DataFrame.unionByName, resolved))
+    sure = tried.where("known").groupBy("rule_no").agg(F.count("*").alias("n"), F.count_if("right").alias("k"))
+    names = F.array(*(F.lit(rule) for rule, _ in RULES))
+    confidence = (F.coalesce("k", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + 2)
+    return tried.where("open").join(F.broadcast(sure), "rule_no", "left").select("entry_id", "notice_id", names[F.col("rule_no")].alias("rule"), confidence.alias("confidence"))
 
 
 def catalogue_attributes(catalogue: DataFrame) -> DataFrame:

@@ -10,10 +10,11 @@ the phrases and lacks what is only this item's, while a touched-up copy lacks an
    count as one here, and so do items that share the wording's surroundings, so a passage that several items have is a leak
    of all of them, however many documents carry it. Stock wording is a run of at least ``STOCK_WORDS`` words of an item
    within common shingles; shorter ones are phrases of which any text is made.
-3. Stock words spoil at most one shingle each beyond the first four and misses at most five, so a window that is there
+3. Stock words spoil at most one shingle each beyond the first four and misses at most five, so a window with one miss
    shares at least ``SHARED`` of its own shingles, and one of its rarest (the prefix: all but ``SHARED`` - 1 of them in order
-   of rarity). Hits are grouped by document, item and band of their distance in position; bands without enough shingles or
-   without one of a prefix are dropped. No window that is there gets lost.
+   of rarity); a window with more shares ``SHARED_LESS``, and one that is about as rare as its rarest. Hits are grouped by
+   document, item and band of their distance in position; bands that have neither are dropped, and no window that is there
+   gets lost.
 4. The words of an item and of the stretch of the document opposite are compared place by place.
 """
 
@@ -36,8 +37,9 @@ SHINGLE, WINDOW = 5, 20
 MISSES, RAREST = 2, 1.2
 #: Words of a window that are no stock wording, at least.
 OWN = 13
-#: Own shingles that a window keeps at least.
-SHARED = WINDOW - SHINGLE + 1 - MISSES * SHINGLE - max(WINDOW - OWN - SHINGLE + 1, 0)
+#: Own shingles that a window keeps at least with one miss, and with ``MISSES``.
+SHARED = WINDOW - SHINGLE + 1 - SHINGLE - max(WINDOW - OWN - SHINGLE + 1, 0)
+SHARED_LESS = SHARED - (MISSES - 1) * SHINGLE
 #: Wording of at least so many items and more than this share of the documents, so many words long, is stock wording.
 STOCK_ITEMS, STOCK_SHARE, STOCK_WORDS = 3, 0.001, 10
 #: Words to either side at which the surroundings of wording in an item are compared.
@@ -182,23 +184,25 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     own = of_items.select("item_id", "item_at", "token").join(stock, ["item_id", "item_at"], "left_anti").join(many, "token", "left").na.fill(0, ["many"])
     own = durable(own)
 
-    # the prefix of each window: its shingles by rarity, but for the last SHARED - 1
+    # of each window the prefix, its shingles by rarity but for the last SHARED - 1, and those about as rare as its rarest
     start = F.explode(F.sequence(F.greatest(F.col("item_at") - (WINDOW - SHINGLE), F.lit(0)), F.col("item_at")))
     window = Window.partitionBy("item_id", "start")
     nth = F.row_number().over(window.orderBy("many", "token", "item_at"))
-    led = own.withColumn("start", start).withColumns({"nth": nth, "size": F.count("*").over(window)})
-    led = led.groupBy("item_id", "item_at", "token").agg(F.bool_or(F.col("nth") <= F.greatest(F.col("size") - (SHARED - 1), F.lit(1))).alias("led"))
+    ranked = own.withColumn("start", start).withColumns({"nth": nth, "size": F.count("*").over(window), "least_many": F.min("many").over(window)})
+    prefix = F.bool_or(F.col("nth") <= F.greatest(F.col("size") - (SHARED - 1), F.lit(1))).alias("led")
+    marked = ranked.groupBy("item_id", "item_at", "token").agg(prefix, F.bool_or(F.col("many") <= RAREST * F.col("least_many")).alias("rarest"))
+    # short items have fewer shingles, of which one miss spoils five
+    left = F.greatest(F.size("tokens") - SHINGLE, F.lit(1))
+    sizes = items.select("item_id", F.least(F.lit(SHARED), left).alias("least"), F.least(F.lit(SHARED_LESS), left).alias("least_less"))
+    marked = durable(marked.join(broadcast_if_small(sizes), "item_id"))
 
-    sizes = items.select("item_id", F.least(F.lit(SHARED), F.size("tokens")).alias("least"))
     band = F.floor((F.col("doc_at") - F.col("item_at")) / BAND)
     stretches = (
-        hits.join(broadcast_if_small(durable(led)), "token")
+        hits.join(broadcast_if_small(marked), "token")
         .withColumn("band", F.explode(F.array(band, band - 1)))
         .groupBy("doc_id", "item_id", "band")
-        .agg(F.count("*").alias("shared"), F.bool_or("led").alias("led"))
-        .where("led")
-        .join(broadcast_if_small(sizes), "item_id")
-        .where("shared >= least")
+        .agg(F.count("*").alias("shared"), *(F.bool_or(c).alias(c) for c in ("led", "rarest")), *(F.min(c).alias(c) for c in ("least", "least_less")))
+        .where("shared >= least and led or shared >= least_less and rarest")
         .select("doc_id", "item_id", "band")
     )
     stretches = durable(stretches)

@@ -21,6 +21,11 @@ def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unmatched.join(choices, ["choice_id", "field_name"]).groupBy("field_name", "value").agg(F.count("*").alias("choices"))
 
 
+def p3_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry within reach of each distinct value, with its distance and rank."""
+    return mapping.candidates(table(spark, sf_dir, "hazard_choice"), table(spark, sf_dir, "vocab_term"), "choice_id", ["name", "label"])
+
+
 def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = entities.catalogue_attributes(table(spark, sf_dir, "catalogue_entry"))
     return entities.match(entries, entities.notice_attributes(table(spark, sf_dir, "accident_notice")))
@@ -65,5 +70,5 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.language_segments(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_segments": p8_segments}
+QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p3_candidates": p3_candidates, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_segments": p8_segments}
 SQL: dict[str, str] = {}

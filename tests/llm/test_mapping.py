@@ -55,3 +55,36 @@ def test_tables(spark):
     assert sorted(tuple(r) for r in map_values(df, terms, "choice_id", ["name", "label"]).collect()) == expected
     assert map_values(df.limit(0), terms, "choice_id", ["name", "label"]).count() == 0
     assert {r.term_id for r in map_values(df, terms.limit(0), "choice_id", ["name", "label"]).collect()} == {0}
+
+
+def test_every_entry_within_reach(spark):
+    """A tie of two entries: both come out, the one meant first; parts of the list give the same."""
+    import causeway.llm.mapping as M
+
+    terms = spark.createDataFrame([(1, "name", "Pool fire", None), (2, "name", "Pool fires", None), (3, "name", "Jet fire", "torch fire")], "term_id long, field_name string, term string, also_known string")
+    df = spark.createDataFrame([(1, "pool firex"), (2, "a jet fire and a pool fire"), (3, "fire"), (4, None)], "choice_id long, name string")
+    rows = {(r.value, r.term_id): (r.distance, r.rank) for r in M.candidates(df, terms, "choice_id", ["name"]).collect()}
+    assert {rows["pool firex", 1][1], rows["pool firex", 2][1]} == {1, 2}
+    assert {t for v, t in rows if v == "a jet fire and a pool fire"} == {1, 2, 3} and not any(v == "fire" for v, _ in rows)
+    old, M.LIST_ROWS = M.LIST_ROWS, 1
+    try:
+        parted = {(r.value, r.term_id): r.distance for r in M.candidates(df, terms, "choice_id", ["name"]).collect()}
+    finally:
+        M.LIST_ROWS = old
+    assert parted.keys() == rows.keys()
+
+
+def test_inside_and_beginnings_agree_with_brute_force():
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randint(7, 10))) for _ in range(30)]
+    trie = Trie(lambda n: 1)
+    for w in words:
+        trie.add(w, w)
+    for _ in range(60):
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(9, 14)))
+        parts = {text[i:j] for i in range(len(text) + 1) for j in range(i, len(text) + 1)}
+        assert {w for _, _, w in trie.inside(text)} == {w for w in words if len(w) <= len(text) + 2 and min(distance(p, w) for p in parts) <= 1}
+        begun = {w for w in words if any(distance(text, w[:k]) <= 1 for k in range(7, len(w) + 1)) or text.startswith(w)}
+        assert trie.begun(text) == begun
