@@ -119,7 +119,7 @@ def told_apart(records: DataFrame, id_col: str, common: DataFrame, regions: Data
         F.sort_array(F.collect_list(F.when(F.col("common"), F.col("word")))).alias("words"),
     )
     known = regions.select(F.col("region").alias("town"), F.lit(True).alias("is_region"))
-    told = records.drop("title").join(sides, id_col, "left").join(broadcast_if_small(known), "town", "left")
+    told = records.drop("title").join(sides, id_col, "left").join(known, "town", "left")
     empty = F.expr("cast(array() as array<string>)")
     return told.select(
         id_col, F.coalesce("names", empty).alias("names"), F.coalesce("words", empty).alias("words"), F.when(F.col("is_region").isNull(), F.col("town")).alias("town"),
@@ -215,25 +215,19 @@ def _weights(pairs: DataFrame, chance: DataFrame) -> dict[str, dict[str, float]]
     return bits
 
 
-#: The rules in order: name and keys. A key is made of parts; with a date part its day, month or year must be known.
-RULES: list[tuple[str, list[str]]] = [
-    ("number", ["digits"]),
-    ("name and day", ["name", "day"]),
-    ("town and day", ["town", "day"]),
-    ("part of name and day", ["name_part", "day"]),
-    ("part of town and day", ["town_part", "day"]),
-    ("name and month", ["name", "month"]),
-    ("town and month", ["town", "month"]),
-    ("part of name and month", ["name_part", "month"]),
-    ("name and year", ["name", "year"]),
-    ("part of name and year", ["name_part", "year"]),
-    ("town, word and year", ["town", "word", "year"]),
-    ("name and word", ["name", "word"]),
+#: The rules in order: name and alternative keys. A key is made of parts; with a date part its day, month or year must be known.
+RULES: list[tuple[str, list[list[str]]]] = [
+    ("number", [["digits"]]),
+    ("name and day", [["name", "day"], ["name_part", "day"]]),
+    ("town and day", [["town", "day"], ["town_part", "day"]]),
+    ("name or town and month", [["name", "month"], ["name_part", "month"], ["town", "month"]]),
+    ("name or town and word and year", [["name", "year"], ["name_part", "year"], ["town", "word", "year"]]),
+    ("name and word", [["name", "word"]]),
 ]
 _EMPTY = "cast(array() as array<string>)"
 
 
-def _keys(parts: list[str], spread: bool) -> str:
+def _keys(ways: list[list[str]], spread: bool) -> str:
     """SQL of the keys of a record for a rule; ``spread`` makes them for each day, month or year that is near enough."""
     days = f"sequence(date_sub(low, {DAYS}), date_add(high, {DAYS}))" if spread else "array(low)"
     made = {
@@ -247,10 +241,13 @@ def _keys(parts: list[str], spread: bool) -> str:
         "month": f"if(datediff(high, low) < 31, array_distinct(transform({days}, d -> date_format(d, 'yyyy-MM'))), {_EMPTY})",
         "year": f"if(low is null, {_EMPTY}, array_distinct(transform({days}, d -> string(year(d)))))",
     }
-    keys = made[parts[0]]
-    for part in parts[1:]:
-        keys = f"flatten(transform({keys}, a -> transform(coalesce({made[part]}, {_EMPTY}), b -> concat_ws('|', a, b))))"
-    return f"array_distinct({keys})"
+    keys = []
+    for parts in ways:
+        way = made[parts[0]]
+        for part in parts[1:]:
+            way = f"flatten(transform({way}, a -> transform(coalesce({made[part]}, {_EMPTY}), b -> concat_ws('|', a, b))))"
+        keys.append(f"coalesce({way}, {_EMPTY})")
+    return f"array_distinct(concat({', '.join(keys)}))"
 
 
 def match(entries: DataFrame, notices: DataFrame) -> DataFrame:
@@ -258,25 +255,28 @@ def match(entries: DataFrame, notices: DataFrame) -> DataFrame:
 
     A notice has at most one entry, an entry may have several notices. Rows without an id and rows without attributes
     match nothing; a rule skips rows that lack one of its attributes. A tie of several entries resolves nothing, and
-    the notice stays open for the later rules. Keys and ids alone go through a rule's join; a hot name or town is split
+    the notice stays open for the later rules; a bounded sample of resolved ones goes along, to measure them. Keys and ids alone go through a rule's join; a hot name or town is split
     by the key's date or word.
     """
     entries, notices = durable(entries), durable(notices)
     records = entries.select("title", "town").unionByName(notices.select("title", "town"))
-    regions = durable(entries.select("region", "town").unionByName(notices.select("region", "town")).where("region is not null and town is not null").select("region").distinct())
+    regions = entries.select("region", "town").unionByName(notices.select("region", "town")).where("region is not null and town is not null").select("region").distinct()
     common = durable(common_words(records))
     entries, notices = durable(told_apart(entries, "entry_id", common, regions)), durable(told_apart(notices, "notice_id", common, regions))
 
-    # agencies number their own files, so only a number that some entry has tells
-    numbered = entries.where("digits is not null").select("digits").distinct().withColumn("numbered", F.lit(True))
-    notices = durable(notices.join(broadcast_if_small(durable(numbered)), "digits", "left").na.fill(False, ["numbered"]))
     # pairs whose file number has one entry only teach translations and weights
     by_number = entries.where("digits is not null").groupBy("digits", "letters").agg(F.count("*").alias("n"), F.min("entry_id").alias("entry_id")).where("n = 1")
     seeds = notices.where("digits is not null").select("notice_id", "digits", F.col("letters").alias("n_letters")).join(by_number, "digits")
     seeds = seeds.where(F.forall("letters", lambda x: F.array_contains("n_letters", x))).select("entry_id", "notice_id")
     seeds = durable(seeds.orderBy(F.xxhash64("notice_id")).limit(SEEDS))
     told = seeds.join(entries.select("entry_id", F.col("words").alias("e_words")), "entry_id").join(notices.select("notice_id", F.col("words").alias("n_words")), "notice_id")
-    to_entry, to_notice = durable(translations(told, "n_words", "e_words")), durable(translations(told, "e_words", "n_words"))
+    # with few pairs of one number a common word stands for itself
+    few = seeds.limit(ASSUMED).count() < ASSUMED
+    same = common.select("word", F.array("word").alias("into"))
+    to_entry, to_notice = (same, same) if few else (durable(translations(told, "n_words", "e_words")), durable(translations(told, "e_words", "n_words")))
+    # agencies number their own files, so only a number that some entry has tells
+    numbered = entries.where("digits is not null").select("digits").distinct().withColumn("numbered", F.lit(True))
+    notices = notices.join(numbered, "digits", "left").na.fill(False, ["numbered"])
     entries, notices = durable(_translated(entries, "entry_id", to_notice)), durable(_translated(notices, "notice_id", to_entry))
     e_side, n_side = _sided(entries, "e", "entry_id"), _sided(notices, "n", "notice_id")
     e_side, n_side = broadcast_if_small(e_side), broadcast_if_small(n_side)
@@ -292,12 +292,14 @@ def match(entries: DataFrame, notices: DataFrame) -> DataFrame:
     said = sum((reduce(lambda w, o: w.when(F.col(a) == o, bits[a][o]), bits[a], F.when(F.lit(False), 0.0)).otherwise(0.0) for a in bits), F.lit(0.0))
     least = math.log2(max(total, 1)) + MARGIN
 
-    status, resolved = notices.select("notice_id", F.lit(True).alias("open"), "low", "high", "digits", "names", "town", "words", "to"), []
-    labelled = None
-    for no, (rule, key) in enumerate(RULES):
-        asked = status if labelled is None else status.unionByName(labelled)
-        left = entries.select("entry_id", F.explode(F.expr(_keys(key, True))).alias("key"))
-        right = asked.select("notice_id", "open", F.explode(F.expr(_keys(key, False))).alias("key"))
+    asked, resolved = notices.withColumn("open", F.lit(True)), []
+    for no, (_, ways) in enumerate(RULES):
+        if resolved:
+            hits = reduce(DataFrame.unionByName, (r.where("open").select("notice_id") for r in resolved))
+            labelled = notices.join(resolved[0].select("notice_id").orderBy(F.xxhash64("notice_id")).limit(LABELLED), "notice_id", "left_semi")
+            asked = notices.join(hits, "notice_id", "left_anti").withColumn("open", F.lit(True)).unionByName(labelled.withColumn("open", F.lit(False)))
+        left = entries.select("entry_id", F.explode(F.expr(_keys(ways, True))).alias("key"))
+        right = asked.select("notice_id", "open", F.explode(F.expr(_keys(ways, False))).alias("key"))
         pairs = attributed(left.join(right, "key").select("entry_id", "notice_id", "open").distinct())
         days_known = (F.col("e_low") == F.col("e_high")) & (F.col("n_low") == F.col("n_high"))
         found = pairs.select("entry_id", "notice_id", "open", days_known.alias("days_known"), "n_numbered", *(c.alias(a) for a, c in outcomes().items()))
@@ -306,14 +308,8 @@ def match(entries: DataFrame, notices: DataFrame) -> DataFrame:
         order = Window.partitionBy("notice_id", "open").orderBy(F.desc("bits"), "entry_id")
         ranked = scored.where(F.col("bits") >= least).withColumns({"nth": F.row_number().over(order), "second": F.lead("bits").over(order)})
         best = ranked.where("nth = 1").where(F.col("second").isNull() | (F.col("bits") - F.col("second") >= LEAD))
-        best = durable(best.select("notice_id", "open", "entry_id", "known", "right", F.lit(no).alias("rule_no")))
-        resolved.append(best)
-        hit = best.where("open").select("notice_id")
-        status = durable(status.join(hit, "notice_id", "left_anti"))
-        if no == 0:
-            known_ones = hit.orderBy(F.xxhash64("notice_id")).limit(LABELLED)
-            labelled = durable(notices.join(known_ones, "notice_id", "left_semi").select(*(F.lit(False).alias("open") if c == "open" else c for c in status.columns)))
-    tried = durable(reduce(DataFrame.unionByName, resolved))
+        resolved.append(durable(best.select("notice_id", "open", "entry_id", "known", "right", F.lit(no).alias("rule_no"))))
+    tried = reduce(DataFrame.unionByName, resolved)
     sure = tried.where("known").groupBy("rule_no").agg(F.count("*").alias("n"), F.count_if("right").alias("k"))
     names = F.array(*(F.lit(rule) for rule, _ in RULES))
     confidence = (F.coalesce("k", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + 2)
