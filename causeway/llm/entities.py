@@ -111,18 +111,18 @@ def common_words(records: DataFrame) -> DataFrame:
     return pairs.groupBy("word").agg(spread.alias("towns")).crossJoin(F.broadcast(towns)).where("towns > most").select("word")
 
 
-def told_apart(records: DataFrame, id_col: str, common: DataFrame, regions: DataFrame) -> DataFrame:
+def told_apart(records: DataFrame, common: DataFrame) -> DataFrame:
     """Title words as names and common words; a town that others write as a region is one."""
-    words = records.select(id_col, F.explode("title").alias("word")).join(broadcast_if_small(common.withColumn("common", F.lit(True))), "word", "left")
-    sides = words.groupBy(id_col).agg(
+    words = records.select("side", "id", F.explode("title").alias("word")).join(broadcast_if_small(common.withColumn("common", F.lit(True))), "word", "left")
+    sides = words.groupBy("side", "id").agg(
         F.sort_array(F.collect_list(F.when(F.col("common").isNull() & (F.length("word") >= 4), F.col("word")))).alias("names"),
         F.sort_array(F.collect_list(F.when(F.col("common"), F.col("word")))).alias("words"),
     )
-    known = regions.select(F.col("region").alias("town"), F.lit(True).alias("is_region"))
-    told = records.drop("title").join(sides, id_col, "left").join(known, "town", "left")
+    regions = records.where("region is not null and town is not null").groupBy("region").agg(F.lit(True).alias("is_region")).withColumnRenamed("region", "town")
+    told = records.drop("title").join(sides, ["side", "id"], "left").join(regions, "town", "left")
     empty = F.expr("cast(array() as array<string>)")
     return told.select(
-        id_col, F.coalesce("names", empty).alias("names"), F.coalesce("words", empty).alias("words"), F.when(F.col("is_region").isNull(), F.col("town")).alias("town"),
+        "side", "id", F.coalesce("names", empty).alias("names"), F.coalesce("words", empty).alias("words"), F.when(F.col("is_region").isNull(), F.col("town")).alias("town"),
         F.when(F.col("is_region"), F.col("town")).otherwise(F.col("region")).alias("region"), "low", "high", "digits", "letters",
     )
 
@@ -177,34 +177,39 @@ def outcomes() -> dict[str, Column]:
     return {"name": name, "town": place, "region": F.when(_short_for(e("region"), n("region")), "same").when(e("region").isNotNull() & n("region").isNotNull(), "none"), "date": date, "words": words, "number": number}
 
 
-def translations(pairs: DataFrame, of: str, into: str) -> DataFrame:
-    """word, into: the words of the other side that stand in nearly all pairs with the word, and more than anywhere."""
-    total = pairs.agg(F.count("*").alias("total"))
-    both = pairs.select(F.explode(of).alias("word"), into).select("word", F.explode(into).alias("into")).groupBy("word", "into").agg(F.count("*").alias("n"))
-    own = pairs.select(F.explode(of).alias("word")).groupBy("word").agg(F.count("*").alias("of"))
-    base = pairs.select(F.explode(into).alias("into")).groupBy("into").agg(F.count("*").alias("all"))
-    share = F.col("n") / F.col("of")
-    kept = both.join(own, "word").join(base, "into").crossJoin(F.broadcast(total)).where((F.col("of") >= 5) & (share >= TRANSLATED) & (share >= LIFT * F.col("all") / F.col("total")))
-    return kept.groupBy("word").agg(F.array_sort(F.collect_list("into")).alias("into"))
+def translations(pairs: DataFrame) -> DataFrame:
+    """side, word, into: the words of the other side that stand in nearly all pairs with the word, and more than anywhere.
+
+    ``pairs`` has e_words and n_words, and tells both ways: of an entry's words into a notice's, and back.
+    """
+    ways = F.explode(F.array(F.struct(F.lit("e").alias("side"), F.col("e_words").alias("of"), F.col("n_words").alias("to")), F.struct(F.lit("n").alias("side"), F.col("n_words").alias("of"), F.col("e_words").alias("to")))).alias("w")
+    told = pairs.select(ways).select("w.*")
+    both = told.select("side", F.explode("of").alias("word"), "to").select("side", "word", F.explode("to").alias("into")).groupBy("side", "word", "into").agg(F.count("*").alias("n"))
+    alone = F.explode(F.concat(F.transform("of", lambda x: F.struct(F.lit("of").alias("role"), x.alias("word"))), F.transform("to", lambda x: F.struct(F.lit("to").alias("role"), x.alias("word"))))).alias("x")
+    counts = told.select("side", alone).groupBy("side", "x.role", "x.word").agg(F.count("*").alias("n"))
+    of = counts.where("role = 'of'").select("side", "word", F.col("n").alias("of"))
+    to = counts.where("role = 'to'").select("side", F.col("word").alias("into"), F.col("n").alias("all"))
+    share, total = F.col("n") / F.col("of"), F.lit(pairs.count())
+    kept = both.join(of, ["side", "word"]).join(to, ["side", "into"]).where((F.col("of") >= 5) & (share >= TRANSLATED) & (share >= LIFT * F.col("all") / total))
+    return kept.groupBy("side", "word").agg(F.array_sort(F.collect_list("into")).alias("into"))
 
 
 def _sided(rows: DataFrame, side: str, id_col: str) -> DataFrame:
-    return rows.select(id_col, *(F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != id_col))
+    return rows.where(F.col("side") == side).select(F.col("id").alias(id_col), *(F.col(c).alias(f"{side}_{c}") for c in rows.columns if c not in ("side", "id")))
 
 
-def _translated(rows: DataFrame, id_col: str, table: DataFrame) -> DataFrame:
+def _translated(records: DataFrame, table: DataFrame) -> DataFrame:
     """Add ``to``: for each word with translations, the list of them."""
-    found = rows.select(id_col, F.explode("words").alias("word")).join(broadcast_if_small(table), "word").groupBy(id_col).agg(F.collect_list("into").alias("to"))
-    return rows.join(found, id_col, "left").withColumn("to", F.coalesce("to", F.expr("cast(array() as array<array<string>>)")))
+    found = records.select("side", "id", F.explode("words").alias("word")).join(broadcast_if_small(table), ["side", "word"]).groupBy("side", "id").agg(F.collect_list("into").alias("to"))
+    return records.join(found, ["side", "id"], "left").withColumn("to", F.coalesce("to", F.expr("cast(array() as array<array<string>>)")))
 
 
 def _weights(pairs: DataFrame, chance: DataFrame) -> dict[str, dict[str, float]]:
     """Bits for each attribute and outcome, from counts among pairs of one accident and chance pairs: a table of fixed size."""
-    counted: dict[tuple[int, str, str], int] = {}
-    for k, side in enumerate((pairs, chance)):
-        stacked = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), c.alias("o")) for a, c in outcomes().items()))).alias("x")
-        for r in side.select(stacked).where("x.o is not null").groupBy("x.a", "x.o").agg(F.count("*").alias("n")).collect():
-            counted[k, r.a, r.o] = r.n
+    stacked = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), c.alias("o")) for a, c in outcomes().items()))).alias("x")
+    sides = pairs.withColumn("k", F.lit(0)).unionByName(chance.withColumn("k", F.lit(1)))
+    tallied = sides.select("k", stacked).where("x.o is not null").groupBy("k", "x.a", "x.o").agg(F.count("*").alias("n"))
+    counted = {(r.k, r.a, r.o): r.n for r in tallied.collect()}
     bits: dict[str, dict[str, float]] = {}
     for attribute, expected in EXPECTED.items():
         if attribute == "number":  # the pairs learned from are those of one number
@@ -258,37 +263,37 @@ def match(entries: DataFrame, notices: DataFrame) -> DataFrame:
     the notice stays open for the later rules; a bounded sample of resolved ones goes along, to measure them. Keys and ids alone go through a rule's join; a hot name or town is split
     by the key's date or word.
     """
-    entries, notices = durable(entries), durable(notices)
-    records = entries.select("title", "town").unionByName(notices.select("title", "town"))
-    regions = entries.select("region", "town").unionByName(notices.select("region", "town")).where("region is not null and town is not null").select("region").distinct()
+    columns = ["title", "town", "region", "low", "high", "digits", "letters"]
+    sides = (rows.select(F.lit(side).alias("side"), F.col(id_col).alias("id"), *columns) for rows, side, id_col in ((entries, "e", "entry_id"), (notices, "n", "notice_id")))
+    records = durable(reduce(DataFrame.unionByName, sides))
     common = durable(common_words(records))
-    entries, notices = durable(told_apart(entries, "entry_id", common, regions)), durable(told_apart(notices, "notice_id", common, regions))
+    records = durable(told_apart(records, common))
 
     # pairs whose file number has one entry only teach translations and weights
-    by_number = entries.where("digits is not null").groupBy("digits", "letters").agg(F.count("*").alias("n"), F.min("entry_id").alias("entry_id")).where("n = 1")
-    seeds = notices.where("digits is not null").select("notice_id", "digits", F.col("letters").alias("n_letters")).join(by_number, "digits")
-    seeds = seeds.where(F.forall("letters", lambda x: F.array_contains("n_letters", x))).select("entry_id", "notice_id")
+    numbers = records.where("digits is not null")
+    by_number = numbers.where("side = 'e'").groupBy("digits", "letters").agg(F.count("*").alias("n"), F.min("id").alias("entry_id"), F.first("words").alias("e_words")).where("n = 1")
+    seeds = numbers.where("side = 'n'").select("digits", F.col("id").alias("notice_id"), F.col("letters").alias("n_letters"), F.col("words").alias("n_words")).join(by_number, "digits")
+    seeds = seeds.where(F.forall("letters", lambda x: F.array_contains("n_letters", x))).select("entry_id", "notice_id", "e_words", "n_words")
     seeds = durable(seeds.orderBy(F.xxhash64("notice_id")).limit(SEEDS))
-    told = seeds.join(entries.select("entry_id", F.col("words").alias("e_words")), "entry_id").join(notices.select("notice_id", F.col("words").alias("n_words")), "notice_id")
     # with few pairs of one number a common word stands for itself
-    few = seeds.limit(ASSUMED).count() < ASSUMED
-    same = common.select("word", F.array("word").alias("into"))
-    to_entry, to_notice = (same, same) if few else (durable(translations(told, "n_words", "e_words")), durable(translations(told, "e_words", "n_words")))
+    same = common.select(F.explode(F.array(F.lit("e"), F.lit("n"))).alias("side"), "word", F.array("word").alias("into"))
+    table = same if seeds.count() < ASSUMED else durable(translations(seeds))
     # agencies number their own files, so only a number that some entry has tells
-    numbered = entries.where("digits is not null").select("digits").distinct().withColumn("numbered", F.lit(True))
-    notices = notices.join(numbered, "digits", "left").na.fill(False, ["numbered"])
-    entries, notices = durable(_translated(entries, "entry_id", to_notice)), durable(_translated(notices, "notice_id", to_entry))
-    e_side, n_side = _sided(entries, "e", "entry_id"), _sided(notices, "n", "notice_id")
-    e_side, n_side = broadcast_if_small(e_side), broadcast_if_small(n_side)
+    numbered = numbers.where("side = 'e'").groupBy("digits").agg(F.lit(True).alias("numbered"))
+    records = durable(_translated(records, table).join(numbered, "digits", "left").na.fill(False, ["numbered"]))
+    e_side, n_side = _sided(records, "e", "entry_id"), _sided(records, "n", "notice_id")
+    entries = records.where("side = 'e'").drop("side").withColumnRenamed("id", "entry_id")
+    notices = records.where("side = 'n'").drop("side").withColumnRenamed("id", "notice_id")
 
     def attributed(pairs: DataFrame) -> DataFrame:
         return pairs.join(e_side, "entry_id").join(n_side, "notice_id")
 
-    total = entries.count()
-    parts = max(1, math.ceil(total * notices.count() / CHANCE))
+    sizes = {r.side: r.n for r in records.groupBy("side").agg(F.count("*").alias("n")).collect()}
+    total = sizes.get("e", 0)
+    parts = max(1, math.ceil(total * sizes.get("n", 0) / CHANCE))
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
     chance = entries.select("entry_id", part("entry_id").alias("part")).join(notices.select("notice_id", part("notice_id").alias("part")), "part").drop("part")
-    bits = _weights(attributed(seeds), attributed(chance))
+    bits = _weights(attributed(seeds.select("entry_id", "notice_id")), attributed(chance))
     said = sum((reduce(lambda w, o: w.when(F.col(a) == o, bits[a][o]), bits[a], F.when(F.lit(False), 0.0)).otherwise(0.0) for a in bits), F.lit(0.0))
     least = math.log2(max(total, 1)) + MARGIN
 
