@@ -14,8 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Groups of graphs for each grouped map: graphs are spread by a hash, so a task holds a few at a time.
-GROUPS = 512
 COUNTS = ["node_insertions", "node_deletions", "node_substitutions", "edge_insertions", "edge_deletions", "edge_substitutions"]
 
 
@@ -56,9 +54,15 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def _local(a: dict[str, int], b: dict[str, int]) -> int:
-    """The cost between two multisets of relations."""
-    return max(sum(a.values()), sum(b.values())) - sum(min(n, b.get(k, 0)) for k, n in a.items())
+def _around(nodes: list[str], arcs: dict[tuple[str, str], str], relations: list[str]) -> np.ndarray:
+    """How often each relation goes in and out of each node: (2, nodes, relations)."""
+    at, of = {x: i for i, x in enumerate(nodes)}, {r: k for k, r in enumerate(relations)}
+    counts = np.zeros((2, len(nodes), len(relations)), np.int64)
+    if arcs:
+        ends = np.array([(at[t], at[s], of[r]) for (s, t), r in arcs.items()])
+        np.add.at(counts, (0, ends[:, 0], ends[:, 2]), 1)
+        np.add.at(counts, (1, ends[:, 1], ends[:, 2]), 1)
+    return counts
 
 
 def edit_counts(types: dict[str, str], arcs: dict[tuple[str, str], str], ref_types: dict[str, str], ref_arcs: dict[tuple[str, str], str]) -> dict[str, int]:
@@ -69,27 +73,20 @@ def edit_counts(types: dict[str, str], arcs: dict[tuple[str, str], str], ref_typ
     if n + m == 0:
         return counts
 
-    def around(nodes: list[str], edges: dict[tuple[str, str], str]) -> tuple[list[dict], list[dict]]:
-        at = {x: i for i, x in enumerate(nodes)}
-        ins: list[dict] = [{} for _ in nodes]
-        outs: list[dict] = [{} for _ in nodes]
-        for (s, t), r in edges.items():
-            outs[at[s]][r] = outs[at[s]].get(r, 0) + 1
-            ins[at[t]][r] = ins[at[t]].get(r, 0) + 1
-        return ins, outs
-
-    (ins, outs), (ref_ins, ref_outs) = around(mine, arcs), around(theirs, ref_arcs)
+    relations = sorted({*arcs.values(), *ref_arcs.values()})
+    own, ref = _around(mine, arcs, relations), _around(theirs, ref_arcs, relations)
+    degree, ref_degree = own.sum(axis=2), ref.sum(axis=2)
+    # of two multisets of relations the greater size less their common part, in and out
+    shared = np.minimum(own[:, :, None, :], ref[:, None, :, :]).sum(axis=3)
+    local = (np.maximum(degree[:, :, None], ref_degree[:, None, :]) - shared).sum(axis=0)
+    other = np.array([types[a] for a in mine], object)[:, None] != np.array([ref_types[b] for b in theirs], object)[None, :]
     never = 1000.0 * (n + m + len(arcs) + len(ref_arcs) + 1)
     cost = np.zeros((n + m, n + m))
-    for i, a in enumerate(mine):
-        for j, b in enumerate(theirs):
-            cost[i, j] = (types[a] != ref_types[b]) + 0.5 * (_local(ins[i], ref_ins[j]) + _local(outs[i], ref_outs[j]))
+    cost[:n, :m] = other + 0.5 * local
     cost[:n, m:] = never
     cost[n:, :m] = never
-    for i in range(n):
-        cost[i, m + i] = 1 + 0.5 * (sum(ins[i].values()) + sum(outs[i].values()))
-    for j in range(m):
-        cost[n + j, j] = 1 + 0.5 * (sum(ref_ins[j].values()) + sum(ref_outs[j].values()))
+    cost[np.arange(n), m + np.arange(n)] = 1 + 0.5 * degree.sum(axis=0)
+    cost[n + np.arange(m), np.arange(m)] = 1 + 0.5 * ref_degree.sum(axis=0)
     to = assign(cost)
     partner: dict[str, str] = {}
     for i, a in enumerate(mine):
@@ -159,8 +156,8 @@ def best_matching(weights: dict[tuple[str, str], float]) -> list[tuple[str, str,
     return [(a, theirs[j], weights[a, theirs[j]]) for a, j in zip(mine, to, strict=True) if j < len(theirs) and (a, theirs[j]) in weights]
 
 
-def typed_assignment(candidates: DataFrame) -> DataFrame:
-    """The optimal one-to-one matching within each graph and type: graph_id, node_id, ref_node_id, similarity.
+def typed_assignment(candidates: DataFrame, keep_type: bool = False) -> DataFrame:
+    """The optimal one-to-one matching within each graph and type: graph_id, node_id, ref_node_id, similarity; node_type with ``keep_type``.
 
     ``candidates`` is the result of ``typed_candidates``; nodes without a candidate stay unmatched. Pairs of different
     types are never admissible, so each (graph, type) is a problem of its own.
@@ -172,10 +169,11 @@ def typed_assignment(candidates: DataFrame) -> DataFrame:
             out = []
             for r in frame.itertuples(index=False):
                 found = best_matching({(p["node_id"], p["ref_node_id"]): p["similarity"] for p in r.pairs})
-                out += [(r.graph_id, *m) for m in found]
-            yield pd.DataFrame(out, columns=["graph_id", "node_id", "ref_node_id", "similarity"])
+                out += [(r.graph_id, r.node_type, *m) for m in found]
+            yield pd.DataFrame(out, columns=["graph_id", "node_type", "node_id", "ref_node_id", "similarity"])
 
-    return rows.mapInPandas(run, "graph_id long, node_id string, ref_node_id string, similarity double")
+    matched = rows.mapInPandas(run, "graph_id long, node_type string, node_id string, ref_node_id string, similarity double")
+    return matched if keep_type else matched.drop("node_type")
 
 
 def relation_ratio(a: str, b: str) -> float:

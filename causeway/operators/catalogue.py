@@ -9,21 +9,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Terms of a title with their weight for the choice of the primary report.
-WEIGHTS = [
-    (30, "final report"),
-    (20, "investigation report"),
-    (15, "case study|safety bulletin|safety study"),
-    (-50, "spanish|español|appendix|annex"),
-    (-20, "executive summary|presentation|transcript"),
+# Terms of a report's title with their weight for the choice of the primary report.
+WEIGHTS = {
+    "final report": 30,
+    "investigation report": 20,
+    "case study": 15,
+    "safety bulletin": 15,
+    "safety study": 15,
+    "spanish": -50,
+    "español": -50,
+    "appendix": -50,
+    "annex": -50,
+    "executive summary": -20,
+    "presentation": -20,
+    "transcript": -20,
+}
+# Types of reports, the first that stands in a title counts.
+TYPES = [
+    "case study",
+    "safety bulletin",
+    "safety study",
+    "investigation report",
+    "final report",
 ]
-TYPES = ["case study", "safety bulletin", "safety study", "investigation report", "final report"]
 
 
 def report_score(title: Column) -> Column:
-    """The weight of a report's title for the choice of the primary one."""
-    parts = [F.when(F.lower(title).rlike(term), w).otherwise(0) for w, term in WEIGHTS]
-    return sum(parts[1:], parts[0])
+    """The weight of a report's title for the choice of the primary one: each weight counts once, whichever of its terms stands."""
+    lower = F.lower(title)
+    said = {w: F.lit(False) for w in WEIGHTS.values()}
+    for term, w in WEIGHTS.items():
+        said[w] = said[w] | lower.contains(term)
+    return sum((F.when(any_of, w).otherwise(0) for w, any_of in said.items()), F.lit(0))
 
 
 def report_links(catalogue: DataFrame) -> DataFrame:

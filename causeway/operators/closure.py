@@ -38,13 +38,16 @@ def reachable(edges: DataFrame) -> DataFrame:
     return fixpoint(seed, lambda new: new.withColumnRenamed("target", "mid").join(arcs, ["graph_id", "mid"]).select("graph_id", "source", F.col("next").alias("target")))
 
 
-def avoiding_source(edges: DataFrame) -> DataFrame:
+def avoiding_source(edges: DataFrame, forks: bool = False) -> DataFrame:
     """graph_id, source, via, target: (source, via) is an edge, and target is reached from via without passing source.
 
-    target = via is contained. Self-loops start nothing.
+    target = via is contained. Self-loops start nothing. With ``forks`` only from sources with two edges out or more.
     """
     arcs = durable(_arcs(edges))
     seed = arcs.where("mid <> next").select("graph_id", F.col("mid").alias("source"), F.col("next").alias("via"), F.col("next").alias("target"))
+    if forks:
+        many = seed.groupBy("graph_id", "source").agg(F.count("*").alias("n")).where("n > 1").select("graph_id", "source")
+        seed = seed.join(many, ["graph_id", "source"], "left_semi")
 
     def step(new: DataFrame) -> DataFrame:
         on = new.withColumnRenamed("target", "mid").join(arcs, ["graph_id", "mid"]).where("next <> source")
@@ -56,9 +59,9 @@ def avoiding_source(edges: DataFrame) -> DataFrame:
 def shortcuts_between_names(edges: DataFrame) -> DataFrame:
     """Distinct (graph_id, source, target) edges with another way of two edges or more; parallel copies are one edge.
 
-    Every edge is judged on the whole graph. Self-loops are never shortcuts.
+    Every edge is judged on the whole graph. Self-loops are never shortcuts, nor is a source's only edge.
     """
-    ways = avoiding_source(edges).where("via <> target").select("graph_id", "source", "target").distinct()
+    ways = avoiding_source(edges, forks=True).where("via <> target").select("graph_id", "source", "target").distinct()
     return edges.where("source <> target").select("graph_id", "source", "target").distinct().join(ways, ["graph_id", "source", "target"], "left_semi")
 
 

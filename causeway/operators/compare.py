@@ -73,8 +73,11 @@ def signature_difference(pairs: DataFrame, sigs: DataFrame, extra: bool) -> Data
 
 
 def refined_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 2) -> DataFrame:
-    """Label histogram of the refinement by successors: graph_id, round, label, n. Labels of later rounds are hashes."""
-    at = nodes.select("graph_id", "node_id", F.lower("label").alias("label"))
+    """Label histogram of the refinement by successors: graph_id, round, label, n.
+
+    Labels count as written; those of later rounds are hashes.
+    """
+    at = nodes.select("graph_id", "node_id", "label")
     counted = [at.withColumn("round", F.lit(0))]
     for k in range(1, rounds + 1):
         of = at.select("graph_id", F.col("node_id").alias("target"), F.col("label").alias("next"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.keys import batch_key, node_type
 
-#: Allowed (relation, source type, target type).
+# Allowed (relation, source type, target type).
 ONTOLOGY = [
     ("has", "entity", "entity"),
     ("has", "entity", "condition"),

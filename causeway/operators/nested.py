@@ -25,8 +25,6 @@ _ARROW_NODES = [
     pa.field("value", pa.string()),
     pa.field("is_record", pa.bool_()),
 ]
-#: Answers may be wrapped in strings and objects this deep.
-MAX_WRAPS = 6
 
 
 def key_form(key: str) -> str:
@@ -38,17 +36,17 @@ class _Number(str):
     """A number, as written."""
 
 
-def _loads(text: str):
-    return json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_Number)
+def _loads(text: str, hook=None):
+    return json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_Number, object_pairs_hook=hook)
 
 
-def _values(text: str) -> Iterator[object]:
+def _values(text: str, hook=None) -> Iterator[object]:
     """The JSON values that can be read from ``text``: all of it, else its outermost closed objects and lists."""
     text = text.strip("\ufeff \t\r\n")
     if not text:
         return
     try:
-        yield _loads(text)
+        yield _loads(text, hook)
         return
     except (ValueError, RecursionError):
         pass
@@ -74,15 +72,18 @@ def _values(text: str) -> Iterator[object]:
             spans.append((start, i + 1))
     for start, end in spans:
         try:
-            yield _loads(text[start:end])
+            yield _loads(text[start:end], hook)
         except (ValueError, RecursionError):
             continue
 
 
-def _answers(text: str, roots: frozenset[str], wraps: int = 0) -> Iterator[dict]:
-    """Objects with one of the root keys, shallowest first, through wrapping objects, lists and strings."""
+def _answers(text: str, roots: frozenset[str]) -> Iterator[dict]:
+    """Objects with one of the root keys, shallowest first, through wrapping objects, lists and strings however deep.
+
+    What is inside a value is shorter than the value, so the levels come to an end.
+    """
     level = list(_values(text))
-    while level and wraps < MAX_WRAPS:
+    while level:
         below: list[object] = []
         for value in level:
             if isinstance(value, dict):
@@ -93,8 +94,8 @@ def _answers(text: str, roots: frozenset[str], wraps: int = 0) -> Iterator[dict]
             elif isinstance(value, list):
                 below += value
             elif isinstance(value, str) and not isinstance(value, _Number) and "{" in value:
-                below += _values(value)
-        level, wraps = below, wraps + 1
+                below += (inner for inner in _values(value) if inner != value)
+        level = below
 
 
 def _text(value: object) -> str | None:
@@ -182,6 +183,31 @@ def shred(df: DataFrame, id_col: str, payload_col: str, paths: list[str]) -> Dat
     return nodes.mapInArrow(run, f"_id {id_type}, {NODE_SCHEMA}").withColumnRenamed("_id", id_col)
 
 
+def duplicate_keys(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
+    """``id_col``, repeated: documents with an object that has a key twice, and how many keys are repeated in all.
+
+    Text around the JSON doesn't matter; null and unreadable payloads have none. Repeated rows count once.
+    """
+
+    def count(payloads: pa.Array) -> pa.Array:
+        out = []
+        for text in payloads.to_pylist():
+            repeated = 0
+
+            def hook(pairs: list[tuple[str, object]]) -> dict:
+                nonlocal repeated
+                repeated += len(pairs) - len(dict(pairs))
+                return dict(pairs)
+
+            for _ in _values(text or "", hook):
+                pass
+            out.append(repeated)
+        return pa.array(out, pa.int64())
+
+    counted = df.select(id_col, F.arrow_udf(count, "long")(payload_col).alias("repeated"))
+    return counted.groupBy(id_col).agg(F.max("repeated").alias("repeated")).where("repeated > 0")
+
+
 def parent_label(label: Column, up: int = 1) -> Column:
     """The label of the ancestor ``up`` steps above."""
     return F.slice(label, F.lit(1), F.size(label) - F.lit(up))

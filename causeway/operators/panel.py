@@ -137,21 +137,26 @@ def balanced_anova(panel: DataFrame, metric: str, conditions: list[str], runs: i
     Gives the adjusted mean and its standard error, and the standard error of a difference of conditions.
     """
     rows = complete_reports(panel, conditions, runs).select("report_id", "condition_name", "run_no", F.col(metric).alias("y"))
+    n_conditions = len(conditions)
     by_report = rows.groupBy("report_id").agg(F.avg("y").alias("report_mean"))
     by_condition = rows.groupBy("condition_name").agg(F.avg("y").alias("condition_mean"))
     by_run = rows.groupBy("run_no").agg(F.avg("y").alias("run_mean"))
-    total = rows.agg(F.avg("y").alias("m"), F.countDistinct("report_id").alias("n")).first()
-    n, c, mean = total.n or 0, len(conditions), total.m
-    left = rows.join(by_report, "report_id").join(F.broadcast(by_condition), "condition_name").join(by_run, "run_no")
-    rest = F.col("y") - F.col("report_mean") - F.col("condition_mean") - F.col("run_mean") + F.lit(2 * (mean or 0.0))
-    residual = left.agg(F.sum(rest * rest).alias("ss")).first().ss or 0.0
-    between = by_report.agg(F.sum((F.col("report_mean") - F.lit(mean or 0.0)) ** 2).alias("ss")).first().ss or 0.0
-    free = n * c * runs - n - c - runs + 2
-    sigma = residual / free if free > 0 else float("nan")
-    tau = max(0.0, (between * c * runs / (n - 1) - sigma) / (c * runs)) if n > 1 else float("nan")
-    se = math.sqrt(tau / n + sigma / (n * runs)) if n else float("nan")
-    se_diff = math.sqrt(2 * sigma / (n * runs)) if n else float("nan")
-    return by_condition.select("condition_name", F.round("condition_mean", 6).alias("adjusted_mean"), F.lit(round(se, 6)).alias("se"), F.lit(round(se_diff, 6)).alias("se_difference"))
+    total = rows.agg(F.avg("y").alias("m"), F.count_distinct("report_id").alias("n"))
+    # total is one row, conditions and runs are those of the study
+    left = rows.join(by_report, "report_id").join(F.broadcast(by_condition), "condition_name").join(F.broadcast(by_run), "run_no").crossJoin(F.broadcast(total))
+    rest = F.col("y") - F.col("report_mean") - F.col("condition_mean") - F.col("run_mean") + 2 * F.col("m")
+    between = (F.col("report_mean") - F.col("m")) ** 2
+    sums = left.agg(F.sum(rest * rest).alias("residual"), (F.sum(between) / (n_conditions * runs)).alias("between"), F.max("n").alias("n"))
+    cells = n_conditions * runs
+    free = F.col("n") * cells - F.col("n") - n_conditions - runs + 2
+    sigma = F.when(free > 0, F.col("residual") / free)
+    tau = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), (F.col("between") * cells / (F.col("n") - 1) - F.col("sigma")) / cells))
+    nan = F.lit(float("nan"))
+    errors = sums.withColumn("sigma", sigma).withColumn("tau", tau).select(
+        F.coalesce(F.round(F.sqrt(F.col("tau") / F.col("n") + F.col("sigma") / (F.col("n") * runs)), 6), nan).alias("se"),
+        F.coalesce(F.round(F.sqrt(2 * F.col("sigma") / (F.col("n") * runs)), 6), nan).alias("se_difference"),
+    )
+    return by_condition.crossJoin(F.broadcast(errors)).select("condition_name", F.round("condition_mean", 6).alias("adjusted_mean"), "se", "se_difference")
 
 
 def uniform(*parts: Column) -> Column:

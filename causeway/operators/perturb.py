@@ -1,85 +1,157 @@
-"""Seeded perturbations of graphs as negative controls."""
+"""Seeded perturbations of graphs as negative controls, as plans.
+
+A run is a graph under one control, severity and replicate. The elements of a run are ranked by the md5 of the run and the
+element, and the rank decides what happens to each: the first ones are deleted or reversed, and neighbours in rank order
+swap their targets. So a run needs no state, can be repeated alone, and any engine with md5 gives the same.
+"""
 
 from __future__ import annotations
 
-import hashlib
 import math
-import random
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.operators.assign import edit_counts
 
-Arcs = dict[tuple[str, str], str]
+RUN = ["graph_id", "control", "severity", "replicate"]
 CHANGES = ["nodes_deleted", "edges_deleted", "edges_reversed", "edges_rewired"]
+CONTROLS = ["node_deletion", "edge_deletion", "edge_direction_reversal", "edge_endpoint_rewiring", "combined"]
+SEVERITIES = (0.25, 0.50, 0.75)
+REPLICATES = 100
 
 
-def target_count(total: int, fraction: float) -> int:
-    """How many of ``total`` a fraction means: at least one, none only of nothing."""
-    return 0 if total <= 0 or fraction <= 0 else min(total, max(1, round(total * fraction)))
+def target_count(total: Column) -> Column:
+    """How many of ``total`` the run's severity means: at least one, none only of nothing."""
+    some = F.greatest(F.lit(1), F.bround(total * F.col("severity")).cast("int"))
+    return F.when((total > 0) & (F.col("severity") > 0), F.least(total, some)).otherwise(F.lit(0)).cast("int")
 
 
-def delete_nodes(types: dict[str, str], arcs: Arcs, fraction: float, rng: random.Random) -> tuple[dict, Arcs, dict]:
-    open_ = sorted(n for n, t in types.items() if n != "H1" and t != "hazardconsequence")
-    gone = set(rng.sample(open_, target_count(len(open_), fraction)))
-    left = {(s, t): r for (s, t), r in arcs.items() if s not in gone and t not in gone}
-    return {n: t for n, t in types.items() if n not in gone}, left, {"nodes_deleted": len(gone), "edges_deleted": len(arcs) - len(left)}
+def _place(step: str, *element: str) -> Column:
+    """The hash that ranks an element of a run in a step."""
+    return F.md5(F.concat_ws("|", F.col("seed"), F.lit(step), *element))
 
 
-def delete_edges(types: dict[str, str], arcs: Arcs, fraction: float, rng: random.Random) -> tuple[dict, Arcs, dict]:
-    gone = set(rng.sample(sorted(arcs), target_count(len(arcs), fraction)))
-    return dict(types), {e: r for e, r in arcs.items() if e not in gone}, {"edges_deleted": len(gone)}
+def _first_of(rows: DataFrame, eligible: Column, total: Column, step: str, *element: str) -> DataFrame:
+    """Add ``hit``: whether the row is among the first eligible ones, as many as the severity means of ``total``."""
+    order = Window.partitionBy(*RUN, "_eligible").orderBy(_place(step, *element), *element)
+    ranked = rows.withColumn("_eligible", eligible).withColumn("_total", total).withColumn("_rank", F.row_number().over(order))
+    return ranked.withColumn("hit", F.col("_eligible") & (F.col("_rank") <= target_count(F.col("_total")))).drop("_eligible", "_total", "_rank")
 
 
-def reverse_edges(types: dict[str, str], arcs: Arcs, fraction: float, rng: random.Random) -> tuple[dict, Arcs, dict]:
-    """Self-loops and edges whose reverse exists aren't turned."""
-    open_ = sorted((s, t) for s, t in arcs if s != t and (t, s) not in arcs)
-    turned = set(rng.sample(open_, min(target_count(len(arcs), fraction), len(open_))))
-    return dict(types), {((t, s) if (s, t) in turned else (s, t)): r for (s, t), r in arcs.items()}, {"edges_reversed": len(turned)}
+def _all(condition: Column) -> Column:
+    return F.count_if(condition).over(Window.partitionBy(*RUN))
 
 
-def rewire_edges(types: dict[str, str], arcs: Arcs, fraction: float, rng: random.Random) -> tuple[dict, Arcs, dict]:
-    """Swap the targets of pairs of untouched edges; degrees stay, and no self-loop or parallel edge comes up."""
-    now, fresh, swaps = dict(arcs), set(arcs), 0
-    wanted = math.ceil(target_count(len(arcs), fraction) / 2)
-    for _ in range(max(100, wanted * 100)):
-        if swaps >= wanted or len(fresh) < 2:
-            break
-        first, second = rng.sample(sorted(fresh), 2)
-        new = (first[0], second[1]), (second[0], first[1])
-        if any(s == t or (s, t) in now for s, t in new) or new[0] == new[1]:
-            continue
-        for old, arc in zip((first, second), new, strict=True):
-            now[arc] = now.pop(old)
-            fresh.discard(old)
-        swaps += 1
-    return dict(types), now, {"edges_rewired": 2 * swaps}
+def deleted_nodes(nodes: DataFrame) -> DataFrame:
+    """The nodes of runs that are deleted; hazards never are."""
+    open_ = (F.col("node_id") != "H1") & (F.col("node_type") != "hazardconsequence")
+    return _first_of(nodes, open_, _all(open_), "node", "node_id").where("hit").select(*RUN, "node_id")
 
 
-def combined(types: dict[str, str], arcs: Arcs, fraction: float, rng: random.Random) -> tuple[dict, Arcs, dict]:
-    changes: dict[str, int] = {}
-    for step in (delete_nodes, reverse_edges, rewire_edges):
-        types, arcs, made = step(types, arcs, fraction, rng)
-        changes |= made
-    return types, arcs, changes
+def without_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    for end in ("source", "target"):
+        edges = edges.join(gone.withColumnRenamed("node_id", end), [*RUN, end], "left_anti")
+    return edges
 
 
-CONTROLS = {
-    "node_deletion": delete_nodes,
-    "edge_deletion": delete_edges,
-    "edge_direction_reversal": reverse_edges,
-    "edge_endpoint_rewiring": rewire_edges,
-    "combined": combined,
-}
-SEVERITIES = (0.25, 0.50, 0.75)
-REPLICATES = 100
+def deleted_edges(edges: DataFrame) -> DataFrame:
+    """The edges of runs that stay."""
+    return _first_of(edges, F.lit(True), _all(F.lit(True)), "edge", "source", "target").where("not hit").drop("hit")
+
 
+def reversed_edges(edges: DataFrame) -> DataFrame:
+    """The edges of runs with some turned, told by ``turned``: no self-loop, and none whose reverse is an edge (``turnable``)."""
+    marked = _first_of(edges, F.col("turnable"), _all(F.lit(True)), "turn", "source", "target")
+    ends = {"source": F.when(F.col("hit"), F.col("target")).otherwise(F.col("source")), "target": F.when(F.col("hit"), F.col("source")).otherwise(F.col("target"))}
+    return marked.withColumns(ends).withColumnRenamed("hit", "turned")
 
-def refinement(labels: dict[str, str], arcs: Arcs, rounds: int = 2) -> Counter:
+
+def rewired_edges(edges: DataFrame) -> DataFrame:
+    """The edges of runs with the targets of some pairs swapped, told by ``swapped``.
+
+    Pairs are neighbours in rank order. A swap that would make a self-loop, an edge that is there, or one that an earlier
+    swap makes is left out; degrees stay.
+    """
+    order = Window.partitionBy(*RUN).orderBy(_place("swap", "source", "target"), "source", "target")
+    ranked = edges.withColumns({"nth": F.row_number().over(order), "wanted": F.ceil(target_count(_all(F.lit(True))) / 2), "pair_source": F.lead("source").over(order), "pair_target": F.lead("target").over(order), "pair_relation": F.lead("relation").over(order)})
+    made = ranked.where("nth % 2 = 1 and pair_source is not null and source <> pair_target and pair_source <> target")
+    arcs = F.array(
+        F.struct(F.col("source"), F.col("pair_target").alias("target"), F.col("relation"), F.col("target").alias("old_target")),
+        F.struct(F.col("pair_source").alias("source"), F.col("target"), F.col("pair_relation").alias("relation"), F.col("pair_target").alias("old_target")),
+    )
+    new = made.select(*RUN, "seed", "wanted", "nth", F.explode(arcs).alias("x")).select(*RUN, "seed", "wanted", "nth", "x.*")
+    there = edges.select(*RUN, "source", "target", F.lit(True).alias("there"))
+    again = F.row_number().over(Window.partitionBy(*RUN, "source", "target").orderBy("nth"))
+    new = new.join(there, [*RUN, "source", "target"], "left").withColumn("bad", F.col("there").isNotNull() | (again > 1))
+    new = new.withColumn("bad", F.bool_or("bad").over(Window.partitionBy(*RUN, "nth"))).where("not bad")
+    new = new.withColumn("swap_no", F.dense_rank().over(Window.partitionBy(*RUN).orderBy("nth"))).where("swap_no <= wanted")
+    old = new.select(*RUN, "source", F.col("old_target").alias("target"))
+    kept = edges.join(old, [*RUN, "source", "target"], "left_anti").withColumn("swapped", F.lit(False))
+    return kept.select(*RUN, "seed", "source", "target", "relation", "swapped").unionByName(new.select(*RUN, "seed", "source", "target", "relation", F.lit(True).alias("swapped")))
+
+
+def turnable_edges(edges: DataFrame) -> DataFrame:
+    """Add ``turnable``: the edge is no self-loop and its reverse isn't there."""
+    back = edges.select("graph_id", F.col("target").alias("source"), F.col("source").alias("target"), F.lit(True).alias("back"))
+    return edges.join(back, ["graph_id", "source", "target"], "left").withColumn("turnable", F.col("back").isNull() & (F.col("source") != F.col("target"))).drop("back")
+
+
+def run_grid(graphs: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
+    """Every graph (graph_id) under every control, severity and replicate, with the seed of its hashes."""
+    cells = F.array(*(F.struct(F.lit(c).alias("control"), F.lit(s).alias("severity")) for c in CONTROLS for s in SEVERITIES))
+    runs = graphs.select("graph_id", F.explode(cells).alias("c"), F.lit(replicates).alias("n")).select("graph_id", "c.*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("replicate"))
+    return runs.withColumn("seed", F.concat_ws("|", F.lit(seed), *(F.col(c).cast("string") for c in RUN)))
+
+
+def perturbed(nodes: DataFrame, edges: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs, the nodes they delete, and their edges with ``turned`` and ``swapped``. Graphs without a node have no runs."""
+    runs = run_grid(nodes.select("graph_id").distinct(), replicates, seed)
+    edges = turnable_edges(edges.select("graph_id", "source", "target", "relation"))
+    of_run = runs.join(edges, "graph_id").select(*RUN, "seed", "source", "target", "relation", "turnable")
+    gone = deleted_nodes(runs.where(F.col("control").isin("node_deletion", "combined")).join(nodes.select("graph_id", "node_id", "node_type"), "graph_id"))
+    control = {c: of_run.where(F.col("control") == c) for c in CONTROLS}
+    no = F.lit(False)
+    columns = [*RUN, "source", "target", "relation", "turned", "swapped"]
+    turned = reversed_edges(without_nodes(control["combined"], gone))
+    # an edge that is turned and then swapped counts as swapped
+    swapped = rewired_edges(turned)
+    marks = turned.select(*RUN, "source", "target", "turned")
+    parts = [
+        without_nodes(control["node_deletion"], gone).withColumns({"turned": no, "swapped": no}),
+        deleted_edges(control["edge_deletion"]).withColumns({"turned": no, "swapped": no}),
+        reversed_edges(control["edge_direction_reversal"]).withColumn("swapped", no),
+        rewired_edges(control["edge_endpoint_rewiring"]).withColumn("turned", no),
+        swapped.join(marks, [*RUN, "source", "target"], "left").na.fill(False, ["turned"]),
+    ]
+    return runs, gone, reduce(DataFrame.unionByName, (p.select(*columns) for p in parts))
+
+
+def perturbation_changes(nodes: DataFrame, edges: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
+    """Each run with its sizes before and after, its changes, and the shares of edges and nodes that are still there."""
+    runs, gone, after = perturbed(nodes, edges, replicates, seed)
+    there = edges.select("graph_id", "source", "target", F.lit(1).alias("same"))
+    left = after.join(there, ["graph_id", "source", "target"], "left").groupBy(*RUN).agg(
+        F.count("*").alias("edges_after"), F.count("same").alias("same"), F.count_if("turned").alias("edges_reversed"), F.count_if("swapped").alias("edges_rewired")
+    )
+    lost = gone.groupBy(*RUN).agg(F.count("*").alias("nodes_deleted"))
+    sizes = nodes.groupBy("graph_id").agg(F.count("*").alias("nodes_before")).join(edges.groupBy("graph_id").agg(F.count("*").alias("edges_before")), "graph_id", "left")
+    both = runs.join(sizes, "graph_id").join(left, RUN, "left").join(lost, RUN, "left").na.fill(0)
+    counts = [F.col(c).cast("int").alias(c) for c in ("nodes_before", "edges_before")]
+    return both.select(
+        *RUN, *counts, (F.col("nodes_before") - F.col("nodes_deleted")).cast("int").alias("nodes_after"), F.col("edges_after").cast("int").alias("edges_after"),
+        F.col("nodes_deleted").cast("int").alias("nodes_deleted"), (F.col("edges_before") - F.col("edges_after")).cast("int").alias("edges_deleted"),
+        F.col("edges_reversed").cast("int").alias("edges_reversed"), F.col("edges_rewired").cast("int").alias("edges_rewired"),
+        F.round(F.when(F.col("edges_before") > 0, F.col("same") / F.col("edges_before")).otherwise(1.0), 6).alias("edges_kept"),
+        F.round(1 - F.col("nodes_deleted") / F.col("nodes_before"), 6).alias("nodes_kept"),
+    )
+
+
+def refinement(labels: dict[str, str], arcs: dict[tuple[str, str], str], rounds: int = 2) -> Counter:
     """Histogram of the refinement by successors, as ``compare.refined_labels`` has it, of one graph."""
     now = dict(labels)
     counted = Counter((0, x) for x in now.values())
@@ -99,46 +171,33 @@ def histogram_similarity(a: Counter, b: Counter) -> float:
     return sum(n * b[x] for x, n in a.items()) / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
 
 
-def _seed(*keys: object) -> int:
-    return int.from_bytes(hashlib.sha256("|".join(map(str, keys)).encode()).digest()[:8], "big")
-
-
 def perturbation_sweep(nodes: DataFrame, edges: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
-    """Every graph under every control, severity and replicate: sizes, changes, shares kept, and scores against itself.
+    """Every run with its changes and its scores against the graph it comes from.
 
-    The scores are label-refinement similarity and the edit distance and similarity of the perturbed against the given
-    graph. A row ``positive_control`` (severity 0, replicate 0) scores each graph as it is. The seed of a run comes from
-    the sha256 of its keys, so runs can be repeated one by one. The graph is repeated for each control and severity
-    only; replicates are made from it within the task.
+    The scores are label-refinement similarity and the edit distance and similarity. A row ``positive_control`` (severity 0,
+    replicate 0) scores each graph as it is. ``nodes`` has graph_id, node_id, node_type, label. Only the scores run in Python.
     """
-    cells = [("positive_control", 0.0), *((c, s) for c in CONTROLS for s in SEVERITIES)]
-    # a fixed grid of runs for each graph, not a join of two tables
-    grid = F.array(*(F.struct(F.lit(c).alias("control"), F.lit(s).alias("severity")) for c, s in cells))
-    n = nodes.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", "node_type", F.lower("label").alias("label"))).alias("nodes"))
-    e = edges.groupBy("graph_id").agg(F.collect_list(F.struct("source", "target", "relation")).alias("edges"))
-    runs = n.join(e, "graph_id", "left").select("graph_id", "nodes", "edges", F.explode(grid).alias("run")).select("graph_id", "nodes", "edges", "run.*")
-    schema = "graph_id long, control string, severity double, replicate int, seed string, nodes_before int, edges_before int, nodes_after int, edges_after int, "
-    schema += ", ".join(f"{c} int" for c in CHANGES) + ", edges_kept double, nodes_kept double, wl_similarity double, edit_distance double, edit_similarity double"
-    columns = [c.split()[0] for c in schema.split(", ")]
+    runs, gone, after = perturbed(nodes, edges, replicates, seed)
+    own = nodes.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", "node_type", "label")).alias("nodes"))
+    own = own.join(edges.groupBy("graph_id").agg(F.collect_list(F.struct("source", "target", "relation")).alias("edges")), "graph_id", "left")
+    lost = gone.groupBy(*RUN).agg(F.collect_list("node_id").alias("gone"))
+    left = after.groupBy(*RUN).agg(F.collect_list(F.struct("source", "target", "relation")).alias("left"))
+    positive = own.select("graph_id", F.lit("positive_control").alias("control"), F.lit(0.0).alias("severity"), F.lit(0).alias("replicate"), F.lit(None).cast("array<string>").alias("gone"), F.col("edges").alias("left"))
+    rows = runs.select(*RUN).join(lost, RUN, "left").join(left, RUN, "left").unionByName(positive).join(own, "graph_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = lambda x: {} if x is None else {(e["source"], e["target"]): e["relation"] for e in x}
         for frame in frames:
+            out = []
             for r in frame.itertuples(index=False):
-                types = {x["node_id"]: x["node_type"] for x in r.nodes}
-                labels = {x["node_id"]: x["label"] for x in r.nodes}
-                arcs = {(x["source"], x["target"]): x["relation"] for x in ([] if r.edges is None else r.edges)}
-                whole, rows = refinement(labels, arcs), []
-                for k in range(1, replicates + 1) if r.control in CONTROLS else [0]:
-                    start = _seed(seed, r.graph_id, r.control, f"{r.severity:.8f}", k) if k else seed
-                    after, left, made = CONTROLS[r.control](types, arcs, r.severity, random.Random(start)) if k else (types, arcs, {})
-                    kept = len(set(left) & set(arcs)) / len(arcs) if arcs else 1.0
-                    held = len(set(after) & set(types)) / len(types) if types else 1.0
-                    alike = histogram_similarity(refinement({n: labels[n] for n in after}, left), whole)
-                    distance = sum(edit_counts(after, left, types, arcs).values())
-                    part = distance / max(1, len(after) + len(left) + len(types) + len(arcs))
-                    sizes = len(types), len(arcs), len(after), len(left)
-                    changes = (made.get(c, 0) for c in CHANGES)
-                    rows.append((r.graph_id, r.control, r.severity, k, str(start), *sizes, *changes, kept, held, round(alike, 6), float(distance), round(max(0.0, 1 - part), 6)))
-                yield pd.DataFrame(rows, columns=columns)
-
-    return runs.repartition("graph_id", "control", "severity").mapInPandas(run, schema)
+                types, labels = {x["node_id"]: x["node_type"] for x in r.nodes}, {x["node_id"]: x["label"] for x in r.nodes}
+                lost, arcs, now = set() if r.gone is None else set(r.gone), read(r.edges), read(r.left)
+                alike = histogram_similarity(refinement({n: x for n, x in labels.items() if n not in lost}, now), refinement(labels, arcs))
+                distance = sum(edit_counts({n: x for n, x in types.items() if n not in lost}, now, types, arcs).values())
+                part = distance / max(1, 2 * len(types) - len(lost) + len(arcs) + len(now))
+                out.append((r.graph_id, r.control, r.severity, r.replicate, round(alike, 6), float(distance), round(max(0.0, 1 - part), 6)))
+            yield pd.DataFrame(out, columns=[*RUN, "wl_similarity", "edit_distance", "edit_similarity"])
+
+    schema = "graph_id long, control string, severity double, replicate int, wl_similarity double, edit_distance double, edit_similarity double"
+    scored = rows.repartition(*RUN).mapInPandas(run, schema)
+    return scored.join(perturbation_changes(nodes, edges, replicates, seed), RUN, "left")

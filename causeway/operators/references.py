@@ -21,22 +21,22 @@ from pyspark.sql import functions as F
 
 from causeway.session import broadcast_if_small, durable
 
-#: Hash ranges within which keys are ranked; each is one window of distinct keys.
-KEY_RANGES = 16
+#: Keys of a hash range within which they are ranked, about; each range is one window of distinct keys.
+RANGE_KEYS = 100_000
 _FAR = "timestamp_ntz'9999-12-31 23:59:59'"
 _BLANKS = " \t\r\n\x0b\x0c\xa0"
 
 
-def key_codes(parents: DataFrame, ranges: int = KEY_RANGES) -> DataFrame:
-    """Dense integer codes of the distinct non-null keys: key, code. The same keys always get the same codes."""
+def key_codes(parents: DataFrame, range_keys: int = RANGE_KEYS) -> DataFrame:
+    """Dense integer codes of the distinct non-null keys: key, code. The same keys always get the same codes.
+
+    There are as many hash ranges as hold about ``range_keys`` keys each.
+    """
+    keys = durable(parents.where(F.col("key").isNotNull()).select("key").distinct())
+    ranges = max(1, -(-keys.count() // range_keys))
     part = Window.partitionBy("part").orderBy("key")
-    return (
-        parents.where(F.col("key").isNotNull())
-        .select("key")
-        .distinct()
-        .withColumn("part", F.pmod(F.xxhash64("key"), F.lit(ranges)))
-        .select("key", ((F.row_number().over(part) - 1) * ranges + F.col("part")).cast("long").alias("code"))
-    )
+    ranked = keys.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(ranges)))
+    return ranked.select("key", ((F.row_number().over(part) - 1) * ranges + F.col("part")).cast("long").alias("code"))
 
 
 def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.text import BLANKS
@@ -43,11 +43,18 @@ def _hazards(nodes: DataFrame) -> DataFrame:
 
 
 def node_vectors(spark: SparkSession, sf_dir: str, texts: DataFrame, text_col: str) -> DataFrame:
-    """Add ``vector`` to ``texts``: the embedding that the hash of the text picks."""
+    """Add ``vector`` to ``texts``: the embedding that the hash of the text picks among the ids in order, gaps or not."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    span = vectors.agg(F.count("*").alias("n"), F.min("vec_id").alias("low")).first()
-    pick = F.conv(F.left(F.md5(text_col), F.lit(8)), 16, 10).cast("long") % F.lit(max(1, span.n)) + F.lit(span.low or 0)
-    return texts.withColumn("vec_id", pick).join(vectors, "vec_id").drop("vec_id")
+    # ids by rank; the table has no text column, so a rank of the hash stands for the lookup
+    ids = vectors.select("vec_id").where("vec_id is not null").distinct()
+    parts = Window.partitionBy("part").orderBy("vec_id")
+    ranged = ids.withColumn("part", F.floor(F.col("vec_id") / 10_000)).withColumn("in_part", F.row_number().over(parts))
+    before = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    nth = ranged.join(before, "part").select("vec_id", (F.col("before") + F.col("in_part") - 1).alias("nth"))
+    total = ids.agg(F.count("*").alias("ids"))
+    pick = F.conv(F.left(F.md5(text_col), F.lit(8)), 16, 10).cast("long") % F.greatest(F.col("ids"), F.lit(1))
+    picked = texts.crossJoin(F.broadcast(total)).withColumn("nth", pick).join(nth, "nth")
+    return picked.join(vectors.groupBy("vec_id").agg(F.max("vector").alias("vector")), "vec_id").drop("vec_id", "nth", "ids")
 
 
 def graph_nodes(spark, sf_dir):
@@ -202,8 +209,6 @@ def graph_patch_diff(spark, sf_dir):
 
 def graph_review_cards(spark, sf_dir):
     """Changes of each graph in reading order: by severity, kind and row."""
-    from pyspark.sql import Window
-
     from causeway.functions.keys import severity_rank
 
     rows = table(spark, sf_dir, "review_edge").select("review_row_id", "graph_id", "change_kind", "severity").distinct()
@@ -220,10 +225,20 @@ def graph_new_node_ids(spark, sf_dir):
     return graphs.next_node_ids(g.nodes, wanted)
 
 
-def graph_perturb_sweep(spark, sf_dir):
+def _references(spark, sf_dir):
     g = load(spark, sf_dir)
     refs = g.pairs.select(F.col("ref_id").alias("graph_id")).distinct()
-    return perturb.perturbation_sweep(g.nodes.join(refs, "graph_id", "left_semi"), g.edges.join(refs, "graph_id", "left_semi"))
+    return durable(g.nodes.join(refs, "graph_id", "left_semi")), durable(g.edges.join(refs, "graph_id", "left_semi"))
+
+
+def graph_perturb_sweep(spark, sf_dir):
+    """The reference graphs under every control, severity and replicate, with their changes and scores."""
+    return perturb.perturbation_sweep(*_references(spark, sf_dir))
+
+
+def graph_perturb_changes(spark, sf_dir):
+    """The same runs without the scores."""
+    return perturb.perturbation_changes(*_references(spark, sf_dir))
 
 
 def _typed(spark, sf_dir):
@@ -275,8 +290,6 @@ def graph_sentence_cosine(spark, sf_dir):
 
 def threshold_grid(spark, sf_dir):
     """The threshold with the best mean F1 of mutually best node matches, on a grid of twelve; of equals the stricter."""
-    from pyspark.sql import Window
-
     g, found = _typed(spark, sf_dir)
     found = durable(found.withColumn("similarity", F.round("similarity", 6)))
     mine = Window.partitionBy("graph_id", "node_id").orderBy(F.desc("similarity"), "ref_node_id")
@@ -415,9 +428,65 @@ added as (
   select * from updated where (graph_id, source, target, relation) not in (select graph_id, source, target, relation from changes where kind = 'edge_deletion' and relation <> '')
 )"""
 )
-_VEC = "(select vec_id, embedding::double[] as v, count(*) over () as n, min(vec_id) over () as low from embeddings)"
+_RUN = "graph_id, control, severity, replicate"
+
+
+def _target(total: str) -> str:
+    return f"(case when {total} > 0 then least({total}, greatest(1, round_even({total} * severity, 0)::int)) else 0 end)"
+
+
+def _turned(name: str, edges: str) -> str:
+    return f"""{name}_r as (select *, turnable and row_number() over (partition by {_RUN}, turnable order by md5(concat_ws('|', seed, 'turn', source, target)), source, target) <= {_target("total")} as turned
+  from (select *, count(*) over (partition by {_RUN}) as total from {edges})),
+{name} as (select {_RUN}, seed, case when turned then target else source end as source, case when turned then source else target end as target, turned from {name}_r)"""
+
+
+def _swapped(name: str, edges: str) -> str:
+    return f"""{name}_o as (select *, row_number() over w as nth, ceil({_target("total")} / 2) as wanted, lead(source) over w as s2, lead(target) over w as t2
+  from (select *, count(*) over (partition by {_RUN}) as total from {edges}) window w as (partition by {_RUN} order by md5(concat_ws('|', seed, 'swap', source, target)), source, target)),
+{name}_m as (select * from {name}_o where nth % 2 = 1 and s2 is not null and source <> t2 and s2 <> target),
+{name}_n as (select {_RUN}, seed, wanted, nth, source, t2 as target, target as old_target from {name}_m union all select {_RUN}, seed, wanted, nth, s2, target, t2 from {name}_m),
+{name}_b as (select n.*, e.source is not null or row_number() over (partition by n.graph_id, n.control, n.severity, n.replicate, n.source, n.target order by n.nth) > 1 as bad
+  from {name}_n n left join {edges} e using ({_RUN}, source, target)),
+{name}_g as (select * from (select *, bool_or(bad) over (partition by {_RUN}, nth) as out from {name}_b) where not out),
+{name}_s as (select * from (select *, dense_rank() over (partition by {_RUN} order by nth) as swap_no from {name}_g) where swap_no <= wanted),
+{name} as (select {_RUN}, source, target, false as swapped from {edges} e where not exists (select 1 from {name}_s s where s.graph_id = e.graph_id and s.control = e.control and s.severity = e.severity
+    and s.replicate = e.replicate and s.source = e.source and s.old_target = e.target)
+  union all select {_RUN}, source, target, true from {name}_s)"""
+
+
+def _spared(edges: str) -> str:
+    at = "x.graph_id = e.graph_id and x.control = e.control and x.severity = e.severity and x.replicate = e.replicate"
+    return f"select * from {edges} e where not exists (select 1 from gone x where {at} and x.node_id in (e.source, e.target))"
+
+
+_PERTURB = f"""refs as (select distinct ref_id as graph_id from pairs),
+runs as (select *, concat_ws('|', 42, graph_id, control, severity, replicate) as seed from (select distinct graph_id from nodes semi join refs using (graph_id))
+  cross join (select unnest(['node_deletion', 'edge_deletion', 'edge_direction_reversal', 'edge_endpoint_rewiring', 'combined']) as control)
+  cross join (select unnest([0.25, 0.5, 0.75])::double as severity) cross join (select unnest(range(1, 101)) as replicate)),
+eligible as (select r.*, n.node_id, count(*) over (partition by {_RUN}) as total from runs r join nodes n using (graph_id)
+  where control in ('node_deletion', 'combined') and node_id <> 'H1' and node_type <> 'hazardconsequence'),
+gone as (select * from eligible qualify row_number() over (partition by {_RUN} order by md5(concat_ws('|', seed, 'node', node_id)), node_id) <= {_target("total")}),
+re as (select r.*, e.source, e.target, e.source <> e.target and not exists (select 1 from edges b where b.graph_id = e.graph_id and b.source = e.target and b.target = e.source) as turnable
+  from runs r join edges e using (graph_id)),
+nd as ({_spared("(select * from re where control = 'node_deletion')")}),
+ed as (select * from (select *, count(*) over (partition by {_RUN}) as total from re where control = 'edge_deletion')
+  qualify row_number() over (partition by {_RUN} order by md5(concat_ws('|', seed, 'edge', source, target)), source, target) > {_target("total")}),
+rv_in as (select * from re where control = 'edge_direction_reversal'), {_turned("rv", "rv_in")},
+rw_in as (select * from re where control = 'edge_endpoint_rewiring'), {_swapped("rw", "rw_in")},
+cb_in as ({_spared("(select * from re where control = 'combined')")}), {_turned("ct", "cb_in")}, {_swapped("cs", "ct")},
+after as (
+  select {_RUN}, source, target, false as turned, false as swapped from nd union all select {_RUN}, source, target, false, false from ed
+  union all select {_RUN}, source, target, turned, false from rv union all select {_RUN}, source, target, false, swapped from rw
+  union all select cs.graph_id, cs.control, cs.severity, cs.replicate, cs.source, cs.target, coalesce(ct.turned, false), cs.swapped from cs left join ct using ({_RUN}, source, target)
+),
+kept as (select a.graph_id, a.control, a.severity, a.replicate, count(*) as edges_after, count(e.source) as same, count(case when turned then 1 end) as turned, count(case when swapped then 1 end) as swapped
+  from after a left join edges e using (graph_id, source, target) group by 1, 2, 3, 4),
+lost as (select {_RUN}, count(*) as n from gone group by all),
+sizes as (select n.graph_id, n.n as nodes, coalesce(e.n, 0) as edges from (select graph_id, count(*) as n from nodes group by 1) n left join (select graph_id, count(*) as n from edges group by 1) e using (graph_id))"""
+_VEC = "(select vec_id, any_value(embedding)::double[] as v, count(*) over () as n, row_number() over (order by vec_id) - 1 as nth from embeddings where vec_id is not null group by vec_id)"
 _CAND = f"""vec as {_VEC},
-tv as (select x.graph_id, x.node_id, x.node_type, v.v from nodes x join vec v on ('0x' || substr(md5(x.name), 1, 8))::bigint % v.n + v.low = v.vec_id),
+tv as (select x.graph_id, x.node_id, x.node_type, v.v from nodes x join vec v on ('0x' || substr(md5(x.name), 1, 8))::bigint % v.n = v.nth),
 cand as (
   select p.graph_id, a.node_type, a.node_id, b.node_id as ref_node_id, list_cosine_similarity(a.v, b.v) as similarity
   from pairs p join tv a on a.graph_id = p.graph_id join tv b on b.graph_id = p.ref_id and b.node_type = a.node_type
@@ -454,6 +523,7 @@ QUERIES = {
     "graph_review_cards": graph_review_cards,
     "graph_new_node_ids": graph_new_node_ids,
     "graph_perturb_sweep": graph_perturb_sweep,
+    "graph_perturb_changes": graph_perturb_changes,
     "nodes_typed_candidates": nodes_typed_candidates,
     "nodes_typed_assignment": nodes_typed_assignment,
     "edges_soft_match": edges_soft_match,
@@ -525,7 +595,7 @@ from pairs join node_scores using (graph_id) join edge_scores using (graph_id)""
         True,
     ),
     "graph_wl_similarity": _with("""
-, l0 as (select graph_id, node_id, lower(label) as label from nodes),
+, l0 as (select graph_id, node_id, label from nodes),
 l1 as (select l.graph_id, l.node_id, md5(l.label || '(' || coalesce(string_agg(t.label, ',' order by t.label), '') || ')') as label from l0 l
   left join edges e on e.graph_id = l.graph_id and e.source = l.node_id left join l0 t on t.graph_id = e.graph_id and t.node_id = e.target group by l.graph_id, l.node_id, l.label),
 l2 as (select l.graph_id, l.node_id, md5(l.label || '(' || coalesce(string_agg(t.label, ',' order by t.label), '') || ')') as label from l1 l
@@ -602,13 +672,20 @@ select g.graph_id, g.pos, g.prefix, g.prefix || (coalesce(t.top, 0) + row_number
 from gone g left join top t using (graph_id, prefix) where g.prefix <> ''""",
         _CHANGES,
     ),
+    "graph_perturb_changes": _with(
+        """select graph_id, control, severity, replicate, nodes as nodes_before, edges as edges_before, nodes - coalesce(l.n, 0) as nodes_after, coalesce(k.edges_after, 0) as edges_after,
+  coalesce(l.n, 0) as nodes_deleted, edges - coalesce(k.edges_after, 0) as edges_deleted, coalesce(k.turned, 0) as edges_reversed, coalesce(k.swapped, 0) as edges_rewired,
+  round(case when edges > 0 then coalesce(k.same, 0) / edges else 1.0 end, 6) as edges_kept, round(1 - coalesce(l.n, 0) / nodes, 6) as nodes_kept
+from runs r join sizes using (graph_id) left join kept k using (graph_id, control, severity, replicate) left join lost l using (graph_id, control, severity, replicate)""",
+        _PERTURB,
+    ),
     "nodes_typed_candidates": _with("select graph_id, node_type, count(*) as candidates, round(max(similarity), 5) as best from cand group by 1, 2", _CAND),
     "graph_sentence_cosine": _with(
         """select p.graph_id, round(coalesce(x.x / sqrt(a.k * b.k), 0.0), 6) as cosine from pairs p left join len a on a.graph_id = p.graph_id left join len b on b.graph_id = p.ref_id
 left join (select p.graph_id, sum(a.x * b.x) as x from pairs p join mean a on a.graph_id = p.graph_id join mean b on b.graph_id = p.ref_id and b.nth = a.nth group by 1) x on x.graph_id = p.graph_id""",
         f"""vec as {_VEC},
 sentences as (select distinct graph_id, concat_ws(' ', source_name, case when relation = '' then 'related_to' else relation end, target_name) as sentence from named),
-uv as (select s.graph_id, v.v, sqrt(list_dot_product(v.v, v.v)) as size from sentences s join vec v on ('0x' || substr(md5(s.sentence), 1, 8))::bigint % v.n + v.low = v.vec_id),
+uv as (select s.graph_id, v.v, sqrt(list_dot_product(v.v, v.v)) as size from sentences s join vec v on ('0x' || substr(md5(s.sentence), 1, 8))::bigint % v.n = v.nth),
 cells as (select graph_id, unnest(v) / size as x, generate_subscripts(v, 1) as nth from uv),
 mean as (select graph_id, nth, avg(x) as x from cells group by 1, 2),
 len as (select graph_id, sum(x * x) as k from mean group by 1)""",

@@ -2,51 +2,57 @@ import itertools
 import random
 
 import numpy as np
-import pytest
 
-from causeway.operators import assign, closure, compare, graphs, patch, perturb
+from causeway.operators import assign, closure, compare, graphs, patch
 
 N = "graph_id long, node_id string, label string, name string, node_type string"
 E = "graph_id long, source string, target string, relation string"
-KINDS = {"C": "condition", "Ev": "event", "H": "hazardconsequence", "En": "entity"}
-
-
-def kind(node):
-    return KINDS[node.rstrip("0123456789")]
-
-
-def counts(arcs, ref_arcs, nodes=None, ref_nodes=None, types=None):
-    of = lambda arcs, more: {n: (types or {}).get(n) or kind(n) for a in arcs for n in a[:2]} | {n: (types or {}).get(n) or kind(n) for n in more or ()}
-    return assign.edit_counts(of(arcs, nodes), {a[:2]: a[2] for a in arcs}, of(ref_arcs, ref_nodes), {a[:2]: a[2] for a in ref_arcs})
-
-
-CHAIN = [("C1", "Ev1", "enables"), ("Ev1", "H1", "enables")]
-
-
-@pytest.mark.parametrize(
-    "args, distance, one",
-    [
-        ((CHAIN, CHAIN), 0, None),
-        (([], [], ["H1"], ["H1", "En1"]), 1, "node_insertions"),
-        (([], [("Ev1", "H1", "enables")], ["Ev1", "H1"]), 1, "edge_insertions"),
-        (([("En1", "En2", "has")], [("En1", "En2", "enables")]), 1, "edge_substitutions"),
-        (([("En1", "Ev1", "enables")], [("Ev1", "En1", "enables")]), 2, None),
-    ],
-)
-def test_edit_counts_of_small_graphs(args, distance, one):
-    found = counts(*args)
-    assert sum(found.values()) == distance
-    assert one is None or found[one] == 1
-
-
-def test_edit_counts_bounds_and_symmetry():
-    other = [("C9", "Ev9", "has"), ("C9", "H9", "enables")]
-    a, b = counts(CHAIN, other), counts(other, CHAIN)
-    assert sum(a.values()) == sum(b.values())
-    types = {n: kind(n) for e in CHAIN for n in e[:2]}
-    ref = {n: kind(n) for e in other for n in e[:2]}
-    assert assign.exact_edit_distance(types, {e[:2] for e in CHAIN}, ref, {e[:2] for e in other}) <= sum(a.values())
-    assert assign.exact_edit_distance({"X": "condition"}, set(), {"Y": "event"}, set()) == 1
+def random_graph(rng, n=6, arcs=8):
+    """A graph whose nodes all differ in type, so the best assignment is no matter of taste."""
+    nodes = [f"n{k}" for k in range(n)]
+    pairs = [(a, b) for a in nodes for b in nodes if a != b]
+    return {x: x for x in nodes}, {e: rng.choice(["has", "enables", "holds"]) for e in rng.sample(pairs, arcs)}
+
+
+def test_one_change_costs_what_it_should():
+    rng = random.Random(12)
+    for _ in range(40):
+        types, arcs = random_graph(rng)
+        edge = rng.choice(sorted(arcs))
+        back = edge[::-1]
+        same = assign.edit_counts(types, arcs, types, arcs)
+        assert set(same) == set(assign.COUNTS) and not any(same.values())
+        assert assign.edit_counts(types, arcs, types | {"more": "more"}, arcs) == same | {"node_insertions": 1}
+        assert assign.edit_counts(types | {"more": "more"}, arcs, types, arcs) == same | {"node_deletions": 1}
+        assert assign.edit_counts(types, arcs, types, {e: r for e, r in arcs.items() if e != edge}) == same | {"edge_deletions": 1}
+        assert assign.edit_counts(types, arcs, types, arcs | {edge: "other"}) == same | {"edge_substitutions": 1}
+        if back not in arcs:
+            turned = {(back if e == edge else e): r for e, r in arcs.items()}
+            assert assign.edit_counts(types, arcs, types, turned) == same | {"edge_insertions": 1, "edge_deletions": 1}
+
+
+def test_edit_counts_against_exact_distance():
+    """The induced path costs at least the exact distance, and as much either way round on plain edges."""
+    rng = random.Random(13)
+    for _ in range(30):
+        (types, arcs), (ref_types, ref_arcs) = random_graph(rng, 4, 4), random_graph(rng, 3, 3)
+        kinds = ["event", "entity", "condition"]
+        types, ref_types = ({x: rng.choice(kinds) for x in t} for t in (types, ref_types))
+        arcs, ref_arcs = (dict.fromkeys(x, "has") for x in (arcs, ref_arcs))
+        there = sum(assign.edit_counts(types, arcs, ref_types, ref_arcs).values())
+        assert assign.exact_edit_distance(types, set(arcs), ref_types, set(ref_arcs)) <= there <= len(types) + len(ref_types) + len(arcs) + len(ref_arcs)
+    assert assign.edit_counts({}, {}, {}, {}) == dict.fromkeys(assign.COUNTS, 0)
+
+
+def test_costs_of_nodes_by_brute_force():
+    """The vectorised costs: relations in and out of two nodes, counted one by one."""
+    rng = random.Random(14)
+    types, arcs = random_graph(rng, 5, 7)
+    names, relations = sorted(types), sorted(set(arcs.values()))
+    found = assign._around(names, arcs, relations)
+    for way, end in ((0, 1), (1, 0)):
+        for i, node in enumerate(names):
+            assert found[way, i].tolist() == [sum(r == q and e[end] == node for e, r in arcs.items()) for q in relations]
 
 
 def test_assignment_is_optimal():
@@ -157,23 +163,6 @@ def test_build_audit_and_scores(spark):
     assert edit[3].distance == 0 and edit[1].distance == edit[2].distance == 4
 
 
-def test_perturbations_keep_what_they_must():
-    arcs = {(s, t): "enables" for s, t in [("En1", "C1"), ("En2", "C2"), ("C1", "Ev1"), ("C2", "Ev2"), ("Ev1", "H1"), ("Ev2", "H1")]}
-    types = {n: kind(n) for e in arcs for n in e}
-    before = dict(arcs)
-    left, rest, made = perturb.delete_nodes(types, arcs, 0.5, random.Random(1))
-    assert made["nodes_deleted"] == 3 and "H1" in left and len(left) == 4
-    assert len(perturb.delete_edges(types, arcs, 0.5, random.Random(1))[1]) == 3
-    _, turned, made = perturb.reverse_edges(types, arcs, 0.5, random.Random(1))
-    assert made["edges_reversed"] == 3 and len(turned) == 6 and sum(e in arcs for e in turned) == 3
-    _, wired, made = perturb.rewire_edges(types, arcs, 0.5, random.Random(1))
-    degree = lambda e, i: sorted(x[i] for x in e)
-    assert degree(wired, 0) == degree(arcs, 0) and degree(wired, 1) == degree(arcs, 1) and all(s != t for s, t in wired)
-    assert len(set(arcs) - set(wired)) == made["edges_rewired"]
-    assert "H1" in perturb.combined(types, arcs, 0.5, random.Random(1))[0] and arcs == before
-    assert perturb.target_count(0, 0.5) == 0 and perturb.target_count(3, 0.01) == 1 and perturb.target_count(5, 0.5) == 2
-
-
 def test_patch_order(spark):
     nodes = spark.createDataFrame([(1, "En1"), (1, "Ev1"), (1, "Ev2")], "graph_id long, node_id string")
     edges = spark.createDataFrame([(1, "En1", "Ev1", "has"), (1, "Ev1", "Ev2", "enables")], E)
@@ -192,3 +181,37 @@ def test_condition_needs_a_way_in(spark):
     edges = spark.createDataFrame([(1, 1, "C1", "H1", "enables"), (1, 2, "C2", "H1", "enables"), (1, 3, "En1", "C2", "has")], "graph_id long, pos long, source string, target string, relation string")
     found = graphs.ontology_violations(nodes, edges, strict=True, ways_in=True).collect()
     assert [(r.rule, r.item) for r in found] == [("no_way_in", "C1")]
+
+
+def test_whole_review_plan(spark):
+    nodes = spark.createDataFrame([(1, k, "L", k.lower(), t, None, "why") for k, t in [("En1", "entity"), ("Ev1", "event"), ("Ev7", "event"), ("H1", "hazardconsequence")]], N + ", evidence string, explanation string")
+    edges = spark.createDataFrame([(1, "En1", "Ev1", "enables"), (1, "Ev1", "Ev7", "enables"), (1, "Ev7", "H1", "enables")], E)
+    C = "graph_id long, pos long, kind string, change_type string, target_id string, suggested string, label string, name string, node_type string, evidence string, explanation string"
+    rows = [
+        (1, 1, "node_update", "Rename", "Ev1", 'rename it to "gasket burst".', *[None] * 5),
+        (1, 2, "node_update", "rename", "Ev1", "unchanged", *[None] * 5),
+        (1, 3, "node_update", "relabel", "En1", '{"label": "Vessel"}', *[None] * 5),
+        (1, 4, "node_update", "update_evidence", "En1", "evidence: page 3; name: x", *[None] * 5),
+        (1, 5, "node_addition", None, None, None, "Ignition", "spark", "event", "p. 4", None),
+        (1, 6, "node_addition", None, None, None, "", "no label", "event", None, None),
+        (1, 7, "node_deletion", None, "Ev7", None, *[None] * 5),
+        (1, 8, "node_update", "rename", "Zz9", "nothing", *[None] * 5),
+    ]
+    links = spark.createDataFrame([(1, 5, "in", "Ev1", None), (1, 5, "out", "H1", "enables"), (1, 5, "out", "Zz", "enables")], "graph_id long, pos long, way string, other string, relation string")
+    changes = spark.createDataFrame([(1, 9, "edge_addition", "En1", "H1", "enables")], "graph_id long, pos long, kind string, source string, target string, relation string")
+    now, after = patch.apply_review_plan(nodes, edges, spark.createDataFrame(rows, C), links, changes, shortcuts=False)
+    got = {r.node_id: r for r in now.collect()}
+    assert set(got) == {"En1", "Ev1", "Ev8", "H1"}
+    assert got["Ev1"].name == "gasket burst" and got["En1"].label == "Vessel" and got["En1"].evidence == "page 3" and got["Ev8"].name == "spark" and got["En1"].explanation == "why"
+    whole = {("En1", "Ev1"), ("Ev1", "Ev8"), ("Ev8", "H1"), ("En1", "H1")}
+    assert {(r.source, r.target) for r in after.collect()} == whole
+    _, short = patch.apply_review_plan(nodes, edges, spark.createDataFrame(rows, C), links, changes)
+    assert {(r.source, r.target) for r in short.collect()} == whole - {("En1", "H1")}
+    empty = spark.createDataFrame([], C)
+    assert patch.apply_review_plan(nodes, edges, empty, links.limit(0), changes.limit(0), shortcuts=False)[1].count() == 3
+
+
+def test_suggested_values(spark):
+    rows = [("name: a b; label: c", "a b"), ("rename X as Y.", "Y"), ('{"name": " z "}', "z"), ('{"label": "z"}', None), ("Keep", None), ("", None), (None, None), ("plain words", "plain words")]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "k int, t string")
+    assert [r.v for r in df.select("k", patch.suggested_value(df.t, "name").alias("v")).orderBy("k").collect()] == [v for _, v in rows]

@@ -7,11 +7,11 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from causeway.plans import core_problems, graphs, panels, texts
+from causeway.plans import core_problems, evaluations, graphs, panels, texts
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = {k: q for m in (graphs, panels, texts, core_problems) for k, q in m.QUERIES.items()}
-SQL = {k: s for m in (graphs, panels, texts, core_problems) for k, s in m.SQL.items()}
+QUERIES = {k: q for m in (graphs, panels, evaluations, texts, core_problems) for k, q in m.QUERIES.items()}
+SQL = {k: s for m in (graphs, panels, evaluations, texts, core_problems) for k, s in m.SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
@@ -45,4 +45,5 @@ def test_against_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert len(QUERIES[name](spark, DATA).columns) > 1
+    out = QUERIES[name](spark, DATA)
+    assert len(out.columns) > 1 and out.count() > 0

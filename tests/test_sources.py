@@ -18,9 +18,9 @@ DOC = {
 @pytest.fixture
 def tree(tmp_path):
     for run, batch, case, name, body in [
-        ("round_1", "batch_1_output_round_1", "7", "causal_graph.json", json.dumps(DOC)),
-        ("round_2", "batch_1", "7", "updated_a.json", "not json"),
-        ("round_2", "batch_1", "7", "updated_b.json", json.dumps(DOC)),
+        ("round_1", "batch_1_output_round_1", "7", "graph.json", json.dumps(DOC)),
+        ("round_2", "batch_1", "7", "later_a.json", "not json"),
+        ("round_2", "batch_1", "7", "later_b.json", json.dumps(DOC)),
     ]:
         place = tmp_path / "revision" / run / batch / case
         place.mkdir(parents=True, exist_ok=True)
@@ -32,9 +32,9 @@ def test_graph_documents(spark, tree):
     docs = G.read_documents(spark, tree)
     assert {(r.condition_name, r.run_no, r.batch_id, r.case_id) for r in docs.collect()} == {("revision", 1, "batch_1", "7"), ("revision", 2, "batch_1", "7")}
     assert G.read_documents(spark, tree, runs=["round_2"]).count() == 2
-    picked = {r.run_no: r.file_name for r in G.pick_document(docs, ["causal_graph.json", "updated_b.json"]).collect()}
-    assert picked == {1: "causal_graph.json", 2: "updated_b.json"}
-    one = docs.where("file_name = 'causal_graph.json'")
+    picked = {r.run_no: r.file_name for r in G.pick_document(docs, ["graph.json", "later_b.json"]).collect()}
+    assert picked == {1: "graph.json", 2: "later_b.json"}
+    one = docs.where("file_name = 'graph.json'")
     count = lambda objects: sorted((r.node_id, r.name) for r in G.document_nodes(one, ["path"], objects).collect())
     assert count("none") == [("En1", "acid"), ("En2", "En2")]
     assert count("hazard") == [("En1", "acid"), ("En2", "En2"), ("H1", "VCE")]
@@ -53,7 +53,7 @@ def test_document_round_trip(spark):
 
 def test_results_and_exclusions(spark, tmp_path, tree):
     latest = panels.latest_results(spark, tree, "*.json").collect()
-    assert any(r.by_name.endswith("updated_b.json") for r in latest)
+    assert any(r.by_name.endswith("later_b.json") for r in latest)
     (tmp_path / "x.json").write_text(json.dumps({"description": "d", "excluded_cases": ["batch_1_output_round_2/1", "batch_2/3"]}))
     keys = panels.read_exclusions(spark, str(tmp_path / "x.json"))
     assert {r.case_key for r in keys.collect()} == {"batch_1/1", "batch_2/3"}
