@@ -53,7 +53,7 @@ def panel_results_table(spark, sf_dir):
     cv = F.when(F.col("mean") != 0, 100 * F.col("sd") / F.col("mean"))
     return out.select(
         "condition_name", "metric", "runs", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round(cv, 4).alias("cv_percent"),
-        F.concat(F.format_number(F.round("mean", 3), "0.000"), F.lit("±"), F.format_number(F.round("sd", 3), "0.000")).alias("written"),
+        F.when(F.col("sd").isNotNull(), F.format_string("%.3f±%.3f", F.round("mean", 3), F.round("sd", 3))).alias("written"),
     )
 
 
@@ -118,12 +118,14 @@ def panel_structure_regression(spark, sf_dir):
     cells = F.array(*(F.struct(F.lit(p).alias("property"), F.lit(m).alias("metric"), F.col(p).alias("x"), F.col(m).alias("y")) for p in properties for m in ("node_f1", "edge_f1")))
     long = rows.select("condition_name", F.explode(cells).alias("c")).select("condition_name", "c.*")
     out = long.groupBy("condition_name", "property", "metric").agg(
-        F.count("*").alias("reports"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.corr("y", "x").alias("r"), F.stddev_samp("x").alias("sx"), F.stddev_samp("y").alias("sy")
+        F.count("*").alias("reports"), F.covar_samp("y", "x").alias("both"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_samp("x").alias("sx"), F.stddev_samp("y").alias("sy")
     )
+    slope = F.try_divide("both", F.col("sx") * F.col("sx"))
+    out = out.withColumns({"slope": slope, "intercept": F.col("my") - slope * F.col("mx"), "r": F.try_divide("both", F.col("sx") * F.col("sy"))})
     # a property or score without spread has no line
     moves = (F.col("sx") > 0) & (F.col("sy") > 0)
     out = out.withColumns({c: F.when(moves, F.col(c)) for c in ("slope", "intercept", "r")})
-    error = F.when(moves & (F.col("reports") > 2) , F.col("sy") / F.col("sx") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("r") * F.col("r")) / (F.col("reports") - 2)))
+    error = F.when(moves & (F.col("reports") > 2), F.try_divide("sy", "sx") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("r") * F.col("r")) / F.greatest(F.col("reports") - 2, F.lit(1))))
     return out.select("condition_name", "property", "metric", "reports", *(F.round(c, 4).alias(c) for c in ("slope", "intercept", "r")), F.round(F.col("r") * F.col("r"), 4).alias("r2"), F.round(error, 4).alias("slope_error"))
 
 
