@@ -31,7 +31,7 @@ TRANSLATED, LIFT = 0.8, 1.5
 #: Days by which the dates of one accident may differ.
 DAYS = 2
 #: Bounds of what is learned from: pairs of one number, chance pairs; and labelled notices that each rule is measured on.
-SEEDS, CHANCE, LABELLED = 50_000, 200_000, 20_000
+SEEDS, CHANCE, LABELLED = 50_000, 60_000, 20_000
 #: Bits that a pair must say beyond chance among all entries, and beyond a notice's second partner.
 MARGIN, LEAD = 0.0, 1.0
 # Beginnings of the names of months in English, German, French, Spanish, Portuguese and Dutch.
