@@ -230,7 +230,7 @@ left join gone g on g.graph_id = c.graph_id""",
   select k.report_id, (select count(*) from nodes n where n.graph_id = k.ref_id) as nodes, (select count(*) from edges e where e.graph_id = k.ref_id) as edges,
     coalesce((select max(c) from (select count(*) as c from edges e where e.graph_id = k.ref_id group by target)), 0) as max_in from (select distinct report_id, ref_id from pairs) k
 ), r as (select rep.*, nodes, edges, max_in, round(edges / nodes, 6) as edge_node_ratio from rep join props using (report_id)),
-long as ({_REGRESSIONS})
+long as ({_REGRESSIONS}),
 lines as (select condition_name, property, metric, count(*) as reports, stddev_samp(x) > 0 and stddev_samp(y) > 0 as moves, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept, corr(y, x) as r,
   stddev_samp(x) as sx, stddev_samp(y) as sy from long group by 1, 2, 3)
 select condition_name, property, metric, reports, round(case when moves then slope end, 4) as slope, round(case when moves then intercept end, 4) as intercept, round(case when moves then r end, 4) as r,
