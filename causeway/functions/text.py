@@ -88,3 +88,24 @@ def only_number(text: Column | str, pattern: str) -> Column:
 def seed_of(text: Column | str) -> Column:
     """The first 64 bits of the sha256 of a text as a decimal string."""
     return F.conv(F.left(F.sha2(_col(text), 256), F.lit(16)), 16, 10)
+
+
+def hazard_form(text: Column | str) -> Column:
+    """A hazard's name in lower case without its number, written as ``number 3``, ``(3)``, `` 3``, ``-3`` or ``_3``."""
+    form = normalize(text)
+    for ending in (r"\s+number(?:\s*\d+)?$", r"\s*\(\s*\d+\s*\)\s*$", r"[\s\-_]*\d+$"):
+        form = F.trim(F.regexp_replace(form, ending, ""))
+    return form
+
+
+def xml_text(text: Column | str) -> Column:
+    """The text without the characters that XML doesn't allow."""
+    return F.regexp_replace(_col(text), r"[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{FFFE}\x{FFFF}]", "")
+
+
+# Names of nodes that say nothing and aren't shown.
+HIDDEN = ["not specified", "not dispersed", "not dispered"]
+
+
+def is_hidden(name: Column | str) -> Column:
+    return normalize(name).isin(HIDDEN)

@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.functions import vectors
+from causeway.functions import text, vectors
 from causeway.functions.keys import severity_rank
-from causeway.operators import assign, compare, graphs, nested, panel, patch
+from causeway.operators import assign, compare, graphs, nested, panel, patch, postprocess
 from causeway.operators.assign import COUNTS
-from causeway.plans.graphs import _CHANGES, _PATCHED, NODES_SQL, PRF_SQL, SQL as GRAPH_SQL, _scores, _typed, cut, graph_bipartite_ged, graph_signature_prf, load
+from causeway.plans.graphs import _B, _PATCHED, _TEXT, NODES_SQL, PRF_SQL, SQL as GRAPH_SQL, _scores, _typed, cut, graph_bipartite_ged, graph_signature_prf, load
 from causeway.plans.panels import PANEL_SQL, _mean, scores
 from causeway.session import durable
 from causeway.sources.tables import table
@@ -183,6 +183,30 @@ def narrative_cosine(spark, sf_dir):
     return often.join(once, "graph_id").select("graph_id", "narrative", F.col("cosine").alias("distinct_sentences"), F.round(F.col("narrative") - F.col("cosine"), 6).alias("delta"))
 
 
+def text_hazard_forms(spark, sf_dir):
+    """Choices of each hazard, its name without case and number, and how many spellings it has."""
+    names = table(spark, sf_dir, "hazard_choice").where("name is not null").select("choice_id", "name").distinct()
+    return names.groupBy(text.hazard_form("name").alias("hazard")).agg(F.count("*").alias("choices"), F.count_distinct("name").alias("spellings"))
+
+
+def text_node_classes(spark, sf_dir):
+    """Nodes of each graph's text edges by class, each once whatever its case: tagged, hazard, condition or neutral, and the hidden ones."""
+    g = load(spark, sf_dir)
+    edges = postprocess.tagged_text_edges(g.written, g.nodes)
+    ends = edges.select("graph_id", F.posexplode(F.array("src", "dst")).alias("end", "node"), "pos").withColumn("key", F.lower("node"))
+    first = ends.groupBy("graph_id", "key").agg(F.min_by("node", F.struct("pos", "end")).alias("node"))
+    named = lambda kind: g.nodes.where(F.col("node_type") == kind).select("graph_id", F.lower("name").alias("key"), F.lit(True).alias(kind)).distinct()
+    rows = first.join(named("hazardconsequence"), ["graph_id", "key"], "left").join(named("condition"), ["graph_id", "key"], "left")
+    kind = F.when(text.first_tag("node").isNotNull(), "tagged").when(F.col("hazardconsequence"), "hazard").when(F.col("condition"), "condition").otherwise("neutral")
+    return rows.groupBy("graph_id", kind.alias("class")).agg(F.count("*").alias("nodes"), F.count_if(text.is_hidden("node")).alias("hidden"))
+
+
+def text_xml(spark, sf_dir):
+    """Documents of each source with characters that XML doesn't allow, and how many."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("source", (F.length("text") - F.length(text.xml_text("text"))).alias("illegal"))
+    return docs.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("illegal") > 0).alias("with_illegal"), F.sum("illegal").alias("illegal"))
+
+
 _CASES = f"""with {NODES_SQL}, {PRF_SQL},
 sizes as (select n.graph_id, n.n as nodes, coalesce(e.n, 0) as edges from (select graph_id, count(*) as n from nodes group by 1) n left join (select graph_id, count(*) as n from edges group by 1) e using (graph_id)),
 cases as (
@@ -196,7 +220,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         panel_metric_rollup, panel_results_table, graph_case_evaluation, graph_edit_totals, threshold_calibration, panel_structure_regression, panel_density_2d, panel_round_completeness,
-        graph_sorted_edges, graph_review_markdown, text_duplicate_keys, narrative_cosine,
+        graph_sorted_edges, graph_review_markdown, text_duplicate_keys, narrative_cosine, text_hazard_forms, text_node_classes, text_xml,
     )
 }
 SQL = {
@@ -241,6 +265,20 @@ cross join (select k / 10.0::double as x from range(11) t(k)) cross join (select
     "panel_round_completeness": PANEL_SQL
     + """, own as (select condition_name, report_id, count(distinct run_no) as own from keys group by 1, 2), runs as (select condition_name, count(distinct run_no) as runs from keys group by 1)
 select condition_name, count(*) as reports, count(case when own = runs then 1 end) as complete, sum(runs - own)::bigint as missing_runs from own join runs using (condition_name) group by 1""",
+    "text_hazard_forms": f"""
+with n as (select distinct choice_id, name, trim(regexp_replace(lower(name), '{_B}', ' ', 'g')) as form from hazard_choice where name is not null),
+f as (select *, trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(form, '\\s+number(?:\\s*\\d+)?$', '')), '\\s*\\(\\s*\\d+\\s*\\)\\s*$', '')), '[\\s\\-_]*\\d+$', '')) as hazard from n)
+select hazard, count(*) as choices, count(distinct name) as spellings from f group by 1""",
+    "text_node_classes": f"""with {NODES_SQL}, {_TEXT},
+ends as (select graph_id, pos, 0 as e, src as node from te union all select graph_id, pos, 1, dst from te),
+firsts as (select graph_id, lower(node) as key, arg_min(node, (pos, e)) as node from ends group by 1, 2),
+marked as (select f.*, case when nullif(trim(regexp_extract(node, '<([^>]+)>', 1)), '') is not null then 'tagged'
+  when exists (select 1 from nodes n where n.graph_id = f.graph_id and n.node_type = 'hazardconsequence' and lower(n.name) = f.key) then 'hazard'
+  when exists (select 1 from nodes n where n.graph_id = f.graph_id and n.node_type = 'condition' and lower(n.name) = f.key) then 'condition' else 'neutral' end as class from firsts f)
+select graph_id, class, count(*) as nodes, count(case when trim(regexp_replace(lower(node), '{_B}', ' ', 'g')) in ('not specified', 'not dispersed', 'not dispered') then 1 end) as hidden from marked group by 1, 2""",
+    "text_xml": """
+with d as (select source, length(text) - length(regexp_replace(text, '[\\x{0}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}\\x{FFFE}\\x{FFFF}]', '', 'g')) as illegal from documents where text is not null)
+select source, count(*) as documents, count(case when illegal > 0 then 1 end) as with_illegal, sum(illegal)::bigint as illegal from d group by 1""",
     "graph_sorted_edges": f"with {NODES_SQL} select graph_id, source, target, relation, row_number() over (partition by graph_id order by source_name, relation, target_name, source, target) as place from named",
     "graph_review_markdown": """
 select graph_id, string_agg(line, chr(10) order by rank, kind, review_row_id) as markdown from (
