@@ -25,7 +25,7 @@ from causeway.llm.lookalike import one_form
 from causeway.session import broadcast_if_small, durable
 
 #: Towns that a name keeps to at most, as an effective number, or this share of all towns; a frequent firm stays a name.
-NAME_TOWNS, NAME_SHARE = 4.0, 0.002
+NAME_TOWNS, NAME_SHARE = 4.0, 0.01
 #: Share of the pairs with a word in which its translation stands at least, and how much more than in all pairs.
 TRANSLATED, LIFT = 0.8, 1.5
 #: Days by which the dates of one accident may differ.
@@ -104,11 +104,17 @@ def attributes(rows: DataFrame, id_col: str, title: str, date: str, place: str,
 
 
 def common_words(records: DataFrame) -> DataFrame:
-    """word: title words that stand with more towns than a name does. Counts are by word and town first."""
-    pairs = records.where("town is not null").select(F.explode("title").alias("word"), "town").groupBy("word", "town").agg(F.count("*").cast("double").alias("n"))
+    """word: title words that stand with more towns than a name does. Counts are by word and town first.
+
+    A town counts by the root of its records, so that one frequent town doesn't make all words look like names of it.
+    """
+    placed = records.where("town is not null")
+    towns = placed.groupBy("town").agg(F.count("*").alias("of_town"))
+    pairs = placed.select(F.explode("title").alias("word"), "town").groupBy("word", "town").agg(F.count("*").alias("n")).join(towns, "town")
+    pairs = pairs.select("word", (F.col("n") / F.sqrt("of_town")).alias("n"))
     spread = F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))
-    towns = records.agg(F.greatest(F.lit(NAME_TOWNS), NAME_SHARE * F.count_distinct("town")).alias("most"))
-    return pairs.groupBy("word").agg(spread.alias("towns")).crossJoin(F.broadcast(towns)).where("towns > most").select("word")
+    most = towns.agg(F.greatest(F.lit(NAME_TOWNS), NAME_SHARE * F.count("*")).alias("most"))
+    return pairs.groupBy("word").agg(spread.alias("towns")).crossJoin(F.broadcast(most)).where("towns > most").select("word")
 
 
 def told_apart(records: DataFrame, common: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ LOOKALIKES = {
 }
 # Code points without a picture of their own, besides those of category Cf.
 _UNSEEN = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10)]
-_TABLED = 0x20000
+#: Code points with pictures that decompose: two planes, and the supplement of compatible ideographs.
+_TABLED = (range(0x20000), range(0x2F800, 0x2FA20))
 #: Bytes that are worked on at once.
 SLICE = 1 << 20
 _COMPATIBLE = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>")
@@ -61,7 +63,7 @@ def _tables() -> tuple[np.ndarray, ...]:
     ccc = np.zeros(0x110000, dtype=np.uint8)
     expansions: list[list[int]] = []
     pairs: dict[int, int] = {}
-    for cp in range(_TABLED):
+    for cp in chain(*_TABLED):
         if 0xD800 <= cp < 0xE000 or _HANGUL_S <= cp < _HANGUL_S + 11172:
             continue
         ch = chr(cp)

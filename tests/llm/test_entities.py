@@ -70,8 +70,8 @@ def test_names_of_no_list(spark):
 def test_frequent_town_and_firm(spark):
     """A town and a firm that hold most rows: days and words tell their accidents apart, and a tie resolves nothing."""
     kinds = ["Boiler Burst", "Ammonia Leak", "Dust Blast", "Silo Collapse"]
-    entries = [(k, f"{'Bigfirm' if k % 3 else f'Lone{chr(97 + k % 26)}{chr(97 + k // 26)}xx'} {kinds[k % 4]}", f"{1990 + k // 12}-{k % 12 + 1:02}-{k % 27 + 1:02}", "Bigtown, Xland" if k % 3 else f"Town{chr(97 + k % 26)}{chr(97 + k // 26)}, Yland", "", "", "x") for k in range(240)]
-    notices = [(1000 + k, f"{e[1].split()[1].lower()} {e[1].split()[2].lower()} at {e[1].split()[0]}", e[2], e[3] if k % 5 else None, None, "x") for k, e in enumerate(entries)]
+    entries = [(k, f"{'Bigfirm' if k % 3 else f'Lone{chr(97 + k % 26)}{chr(97 + k // 26)}xx'} {kinds[k % 4]}", f"{1990 + k // 12}-{k % 12 + 1:02}-{k % 27 + 1:02}", "Bigtown, Xland" if k % 3 else f"Town{chr(97 + k % 26)}{chr(97 + k // 26)}, Yland", f"{1990 + k // 12}-{100 + k}-A" if k % 4 == 0 else "", "", "x") for k in range(240)]
+    notices = [(1000 + k, f"{e[1].split()[1].lower()} {e[1].split()[2].lower()} at {e[1].split()[0]}", e[2], e[3] if k % 5 else None, e[4] or None, "x") for k, e in enumerate(entries)]
     entries += [(500, "Twin Mill Fire", "2031-01-01", "Alba, Xland", "", "", "x"), (501, "Twin Mill Fire", "2031-01-01", "Alba, Xland", "", "", "x")]
     notices.append((2000, "Fire at Twin Mill", "2031-01-01", "Alba", None, "x"))
     found = pairs(spark, entries, notices)

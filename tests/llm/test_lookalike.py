@@ -45,3 +45,14 @@ def test_pairs(spark):
     found = [tuple(r) for r in alike_pairs(df).collect()]
     assert len(found) == len(set(found)) and set(found) == expected
     assert alike_pairs(df.limit(0)).count() == 0
+
+
+def test_compatible_ideographs_beyond_two_planes():
+    import unicodedata
+
+    import pyarrow as pa
+
+    from causeway.llm.lookalike import fold
+
+    rare = [chr(cp) for cp in range(0x2F800, 0x2FA1E)]
+    assert fold(pa.array(rare)).to_pylist() == [unicodedata.normalize("NFC", c) for c in rare]
