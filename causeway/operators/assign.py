@@ -115,6 +115,11 @@ def _as_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, "graph_id", "left")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows over as many tasks as the session shuffles to: few bytes can be much work, so they aren't put together again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def bipartite_edit(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edit distance of each pair by the optimal node assignment: the six counts, distance, normalised, similarity.
 
@@ -137,7 +142,7 @@ def bipartite_edit(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> Data
                 rows.append((r.graph_id, *counts.values(), sum(map(len, (types, arcs, ref_types, ref_arcs)))))
             yield pd.DataFrame(rows, columns=["graph_id", *COUNTS, "elements"])
 
-    counted = both.repartition(F.col("graph_id")).mapInPandas(run, schema)
+    counted = spread(both, "graph_id").mapInPandas(run, schema)
     distance = sum((F.col(c) for c in COUNTS[1:]), F.col(COUNTS[0]))
     part = F.when(F.col("elements") > 0, distance / F.col("elements")).otherwise(F.lit(0.0))
     return counted.select(

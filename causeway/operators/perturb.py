@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.operators.assign import edit_counts
+from causeway.operators.assign import edit_counts, spread
 
 RUN = ["graph_id", "control", "severity", "replicate"]
 CHANGES = ["nodes_deleted", "edges_deleted", "edges_reversed", "edges_rewired"]
@@ -199,5 +199,5 @@ def perturbation_sweep(nodes: DataFrame, edges: DataFrame, replicates: int = REP
             yield pd.DataFrame(out, columns=[*RUN, "wl_similarity", "edit_distance", "edit_similarity"])
 
     schema = "graph_id long, control string, severity double, replicate int, wl_similarity double, edit_distance double, edit_similarity double"
-    scored = rows.repartition(*RUN).mapInPandas(run, schema)
+    scored = spread(rows, *RUN).mapInPandas(run, schema)
     return scored.join(perturbation_changes(nodes, edges, replicates, seed), RUN, "left")
