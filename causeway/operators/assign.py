@@ -108,6 +108,131 @@ def edit_counts(types: dict[str, str], arcs: dict[tuple[str, str], str], ref_typ
     return {k: int(v) for k, v in counts.items()}
 
 
+def assign_many(cost: np.ndarray, plain: int) -> np.ndarray:
+    """``assign`` of many matrices (matrix, row, column) in step, with the same choice among equals if all sums are exact.
+
+    From row ``plain`` on, rows are alike: they cost 0 or at least 1. A search that only goes through columns that
+    such rows have without a price ends at the first free column of equal cost, so it isn't made.
+    """
+    many, n, m = cost.shape
+    u, v = np.zeros((many, n), cost.dtype), np.zeros((many, m), cost.dtype)
+    owner = np.full((many, m), -1)
+    every = np.arange(many)
+    for i in range(n):
+        least = cost[:, i] - v
+        k = least.argmin(axis=1)
+        far = least[every, k]
+        open_ = owner[every, k] < 0
+        if i >= plain and not open_.all():
+            a = every[~open_]
+            tied, has = least[a] == far[a, None], owner[a]
+            stiff = tied & (has >= 0) & ((has < plain) | (u[a[:, None], has] != 0))
+            tied &= has < 0
+            first = tied.argmax(axis=1)
+            end = np.where(stiff.any(axis=1), stiff.argmax(axis=1), m)
+            ok = tied[np.arange(len(a)), first] & (first < end)
+            k[a[ok]] = first[ok]
+            open_[a[ok]] = True
+        owner[every[open_], k[open_]] = i
+        u[open_, i] = far[open_]
+        a = every[~open_]
+        least, k, far, prices = least[a], k[a], far[a], v[a]
+        way, reached = np.full((len(a), m), -1), np.full((len(a), m), np.inf, cost.dtype)
+        while a.size:
+            here = np.arange(len(a))
+            reached[here, k], least[here, k], prices[here, k] = far, np.inf, -np.inf
+            row = owner[a, k]
+            reduced = cost[a, row]
+            reduced -= prices
+            reduced += (far - u[a, row])[:, None]
+            better = reduced < least
+            np.copyto(least, reduced, where=better)
+            np.copyto(way, k[:, None], where=better)
+            k = least.argmin(axis=1)
+            far = least[here, k]
+            done = owner[a, k] < 0
+            if not done.any():
+                continue
+            ended, end, column = a[done], far[done], k[done]
+            x, j = np.nonzero(np.isfinite(reached[done]))
+            gain = end[x] - reached[done][x, j]
+            u[ended[x], owner[ended[x], j]] += gain
+            v[ended[x], j] -= gain
+            u[ended, i] = end
+            before = way[done]
+            left = np.arange(len(ended))
+            while left.size:
+                from_ = before[left, column[left]]
+                root = from_ < 0
+                owner[ended[left], column[left]] = np.where(root, i, owner[ended[left], from_])
+                column[left] = from_
+                left = left[~root]
+            more = ~done
+            a, k, far, least, prices, way, reached = a[more], k[more], far[more], least[more], prices[more], way[more], reached[more]
+    out = np.empty((many, n), int)
+    x, j = np.nonzero(owner >= 0)
+    out[x, owner[x, j]] = j
+    return out
+
+
+#: Cells of cost matrices that are filled at once.
+CELLS = 2_000_000
+
+
+def edit_distances(types: np.ndarray, alive: np.ndarray, run: np.ndarray, source: np.ndarray, target: np.ndarray, relation: np.ndarray, relations: int) -> np.ndarray:
+    """The summed ``edit_counts`` of each run of a graph against the graph: its nodes in order with their types, those
+    ``alive`` in each run (run, node), and the arcs of all, the graph's own as those of a run after the last."""
+    runs, m = alive.shape
+    own = run < runs
+    ref_arcs = np.full((m, m), -1)
+    ref_arcs[source[~own], target[~own]] = relation[~own]
+    ref = np.stack([np.bincount(x[~own] * relations + relation[~own], minlength=m * relations).reshape(m, relations) for x in (target, source)])
+    ref_degree, ref_size = ref.sum(axis=2), int((~own).sum())
+    order = np.argsort(run[own], kind="stable")
+    run, source, target, relation = run[own][order], source[own][order], target[own][order], relation[own][order]
+    starts = np.searchsorted(run, np.arange(runs + 1))
+    sizes, left = np.diff(starts), alive.sum(axis=1)
+    out = np.zeros(runs, np.int64)
+    for n in np.unique(left).tolist():
+        rest = np.flatnonzero(left == n)
+        step = max(1, CELLS // (n + m) ** 2)
+        for of in (rest[k : k + step] for k in range(0, len(rest), step)):
+            arc = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in of])
+            at = np.repeat(np.arange(len(of)), sizes[of])
+            s, t, r = source[arc], target[arc], relation[arc]
+            nodes = np.nonzero(alive[of])[1].reshape(len(of), n)
+            local = np.zeros((len(of), n, m), np.int64)
+            degrees = np.zeros((len(of), n), np.int64)
+            for way, end in enumerate((t, s)):
+                around = np.bincount((at * m + end) * relations + r, minlength=len(of) * m * relations).reshape(len(of), m, relations)
+                around = np.take_along_axis(around, nodes[:, :, None], axis=1)
+                degree = around.sum(axis=2)
+                local += np.maximum(degree[:, :, None], ref_degree[way])
+                for k in range(relations):
+                    local -= np.minimum(around[:, :, None, k], ref[way, :, k])
+                degrees += degree
+            other = types[nodes][:, :, None] != types
+            never = 1000.0 * (n + m + sizes[of] + ref_size + 1)
+            exact = 4 * (n + m) * never.max(initial=0) < 1 << 23
+            cost = np.zeros((len(of), n + m, n + m), np.float32 if exact else np.float64)
+            cost[:, :n, :m] = other + 0.5 * local
+            cost[:, :n, m:] = never[:, None, None]
+            cost[:, n:, :m] = never[:, None, None]
+            cost[:, np.arange(n), m + np.arange(n)] = 1 + 0.5 * degrees
+            cost[:, n + np.arange(m), np.arange(m)] = 1 + 0.5 * ref_degree.sum(axis=0)
+            to = assign_many(cost, n)
+            kept = to[:, :n] < m
+            changed = np.take_along_axis(other, np.minimum(to[:, :n], m - 1)[:, :, None], axis=2)[:, :, 0] & kept
+            partner = np.full((len(of), m), -1)
+            np.put_along_axis(partner, nodes, np.where(kept, to[:, :n], -1), axis=1)
+            a, b = partner[at, s], partner[at, t]
+            found = np.where((a >= 0) & (b >= 0), ref_arcs[a, b], -1)
+            hits = np.bincount(at, found >= 0, len(of)).astype(np.int64)
+            relabelled = np.bincount(at, (found >= 0) & (found != r), len(of)).astype(np.int64)
+            out[of] = changed.sum(axis=1) + (~kept).sum(axis=1) + (to[:, n:] < m).sum(axis=1) + relabelled + sizes[of] + ref_size - 2 * hits
+    return out
+
+
 def _as_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row for each graph: graph_id, nodes (id, type), edges (source, target, relation)."""
     n = nodes.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", "node_type")).alias("nodes"))

@@ -1,8 +1,11 @@
-"""Seeded perturbations of graphs as negative controls, as plans.
+"""Seeded perturbations of graphs as negative controls.
 
 A run is a graph under one control, severity and replicate. The elements of a run are ranked by the md5 of the run and the
 element, and the rank decides what happens to each: the first ones are deleted or reversed, and neighbours in rank order
 swap their targets. So a run needs no state, can be repeated alone, and any engine with md5 gives the same.
+
+A graph is held in one row and goes to a task, which makes and scores all its runs; nothing of a run is shuffled. Runs of
+one graph are scored together, as arrays.
 """
 
 from __future__ import annotations
@@ -10,148 +13,179 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from hashlib import md5
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.operators.assign import edit_counts, spread
+from causeway.operators.assign import edit_distances, spread
 
 RUN = ["graph_id", "control", "severity", "replicate"]
-CHANGES = ["nodes_deleted", "edges_deleted", "edges_reversed", "edges_rewired"]
 CONTROLS = ["node_deletion", "edge_deletion", "edge_direction_reversal", "edge_endpoint_rewiring", "combined"]
 SEVERITIES = (0.25, 0.50, 0.75)
 REPLICATES = 100
+#: Squared elements that are work for one row: greater graphs are several rows, each with a part of the runs.
+PART_WORK = 20_000
+_RUN_SCHEMA = "graph_id long, control string, severity double, replicate int"
+_SIZES = ["nodes_before", "edges_before", "nodes_deleted", "edges_after", "same", "edges_reversed", "edges_rewired"]
+_SCORES = ["wl_similarity", "edit_distance", "edit_similarity"]
 
+Arc = tuple[str, str]
 
-def target_count(total: Column) -> Column:
-    """How many of ``total`` the run's severity means: at least one, none only of nothing."""
-    some = F.greatest(F.lit(1), F.bround(total * F.col("severity")).cast("int"))
-    return F.when((total > 0) & (F.col("severity") > 0), F.least(total, some)).otherwise(F.lit(0)).cast("int")
-
-
-def _place(step: str, *element: str) -> Column:
-    """The hash that ranks an element of a run in a step."""
-    return F.md5(F.concat_ws("|", F.col("seed"), F.lit(step), *element))
-
-
-def _first_of(rows: DataFrame, eligible: Column, total: Column, step: str, *element: str) -> DataFrame:
-    """Add ``hit``: whether the row is among the first eligible ones, as many as the severity means of ``total``."""
-    order = Window.partitionBy(*RUN, "_eligible").orderBy(_place(step, *element), *element)
-    ranked = rows.withColumn("_eligible", eligible).withColumn("_total", total).withColumn("_rank", F.row_number().over(order))
-    return ranked.withColumn("hit", F.col("_eligible") & (F.col("_rank") <= target_count(F.col("_total")))).drop("_eligible", "_total", "_rank")
-
-
-def _all(condition: Column) -> Column:
-    return F.count_if(condition).over(Window.partitionBy(*RUN))
-
-
-def deleted_nodes(nodes: DataFrame) -> DataFrame:
-    """The nodes of runs that are deleted; hazards never are."""
-    open_ = (F.col("node_id") != "H1") & (F.col("node_type") != "hazardconsequence")
-    return _first_of(nodes, open_, _all(open_), "node", "node_id").where("hit").select(*RUN, "node_id")
-
-
-def without_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
-    for end in ("source", "target"):
-        edges = edges.join(gone.withColumnRenamed("node_id", end), [*RUN, end], "left_anti")
-    return edges
 
+def target_count(total: int, severity: float) -> int:
+    """How many of ``total`` the severity means: at least one, none only of nothing."""
+    return min(total, max(1, round(total * severity))) if total > 0 and severity > 0 else 0
 
-def deleted_edges(edges: DataFrame) -> DataFrame:
-    """The edges of runs that stay."""
-    return _first_of(edges, F.lit(True), _all(F.lit(True)), "edge", "source", "target").where("not hit").drop("hit")
 
+def _ranked(items: list, seed: str, step: str) -> list:
+    """Node ids or arcs in the order of their hashes in a step of a run."""
+    start = f"{seed}|{step}|"
+    if items and isinstance(items[0], str):
+        return sorted(items, key=lambda x: (md5((start + x).encode()).digest(), x))
+    return sorted(items, key=lambda x: (md5(f"{start}{x[0]}|{x[1]}".encode()).digest(), x))
 
-def reversed_edges(edges: DataFrame) -> DataFrame:
-    """The edges of runs with some turned, told by ``turned``: no self-loop, and none whose reverse is an edge (``turnable``)."""
-    marked = _first_of(edges, F.col("turnable"), _all(F.lit(True)), "turn", "source", "target")
-    ends = {"source": F.when(F.col("hit"), F.col("target")).otherwise(F.col("source")), "target": F.when(F.col("hit"), F.col("source")).otherwise(F.col("target"))}
-    return marked.withColumns(ends).withColumnRenamed("hit", "turned")
 
+def rewired(arcs: dict[Arc, str], seed: str, severity: float) -> tuple[set[Arc], dict[Arc, str]]:
+    """The arcs that swap their targets with a neighbour in rank order, and what they become.
 
-def rewired_edges(edges: DataFrame) -> DataFrame:
-    """The edges of runs with the targets of some pairs swapped, told by ``swapped``.
-
-    Pairs are neighbours in rank order. A swap that would make a self-loop, an edge that is there, or one that an earlier
-    swap makes is left out; degrees stay.
+    A swap that would make a self-loop, an arc that is there, or one that an earlier swap makes is left out; degrees stay.
+    """
+    order = _ranked(list(arcs), seed, "swap")
+    wanted, made, old, new = -(-target_count(len(arcs), severity) // 2), set(), set(), {}
+    for (s, t), (other_s, other_t) in zip(order[::2], order[1::2], strict=False):
+        if s == other_t or other_s == t:
+            continue
+        swapped = (s, other_t), (other_s, t)
+        bad = any(x in arcs or x in made for x in swapped)
+        made.update(swapped)
+        if not bad and len(old) < 2 * wanted:
+            old |= {(s, t), (other_s, other_t)}
+            new |= {swapped[0]: arcs[s, t], swapped[1]: arcs[other_s, other_t]}
+    return old, new
+
+
+def perturb_run(open_nodes: list[str], arcs: dict[Arc, str], turnable: set[Arc], control: str, severity: float, seed: str) -> tuple[set[str], dict[Arc, str], set[Arc], set[Arc]]:
+    """One run of a graph: the nodes that go, the arcs that are left, and which of these are turned and swapped.
+
+    ``open_nodes`` may be deleted (all but hazards); ``turnable`` arcs are no self-loops and their reverse isn't there.
     """
-    order = Window.partitionBy(*RUN).orderBy(_place("swap", "source", "target"), "source", "target")
-    ranked = edges.withColumns({"nth": F.row_number().over(order), "wanted": F.ceil(target_count(_all(F.lit(True))) / 2), "pair_source": F.lead("source").over(order), "pair_target": F.lead("target").over(order), "pair_relation": F.lead("relation").over(order)})
-    made = ranked.where("nth % 2 = 1 and pair_source is not null and source <> pair_target and pair_source <> target")
-    arcs = F.array(
-        F.struct(F.col("source"), F.col("pair_target").alias("target"), F.col("relation"), F.col("target").alias("old_target")),
-        F.struct(F.col("pair_source").alias("source"), F.col("target"), F.col("pair_relation").alias("relation"), F.col("pair_target").alias("old_target")),
-    )
-    new = made.select(*RUN, "seed", "wanted", "nth", F.explode(arcs).alias("x")).select(*RUN, "seed", "wanted", "nth", "x.*")
-    there = edges.select(*RUN, "source", "target", F.lit(True).alias("there"))
-    again = F.row_number().over(Window.partitionBy(*RUN, "source", "target").orderBy("nth"))
-    new = new.join(there, [*RUN, "source", "target"], "left").withColumn("bad", F.col("there").isNotNull() | (again > 1))
-    new = new.withColumn("bad", F.bool_or("bad").over(Window.partitionBy(*RUN, "nth"))).where("not bad")
-    new = new.withColumn("swap_no", F.dense_rank().over(Window.partitionBy(*RUN).orderBy("nth"))).where("swap_no <= wanted")
-    old = new.select(*RUN, "source", F.col("old_target").alias("target"))
-    kept = edges.join(old, [*RUN, "source", "target"], "left_anti").withColumn("swapped", F.lit(False))
-    return kept.select(*RUN, "seed", "source", "target", "relation", "swapped").unionByName(new.select(*RUN, "seed", "source", "target", "relation", F.lit(True).alias("swapped")))
-
-
-def turnable_edges(edges: DataFrame) -> DataFrame:
-    """Add ``turnable``: the edge is no self-loop and its reverse isn't there."""
-    back = edges.select("graph_id", F.col("target").alias("source"), F.col("source").alias("target"), F.lit(True).alias("back"))
-    return edges.join(back, ["graph_id", "source", "target"], "left").withColumn("turnable", F.col("back").isNull() & (F.col("source") != F.col("target"))).drop("back")
-
-
-def run_grid(graphs: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
-    """Every graph (graph_id) under every control, severity and replicate, with the seed of its hashes."""
-    cells = F.array(*(F.struct(F.lit(c).alias("control"), F.lit(s).alias("severity")) for c in CONTROLS for s in SEVERITIES))
-    runs = graphs.select("graph_id", F.explode(cells).alias("c"), F.lit(replicates).alias("n")).select("graph_id", "c.*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("replicate"))
-    return runs.withColumn("seed", F.concat_ws("|", F.lit(seed), *(F.col(c).cast("string") for c in RUN)))
+    gone: set[str] = set()
+    turned: set[Arc] = set()
+    swapped: set[Arc] = set()
+    if control in ("node_deletion", "combined"):
+        gone = set(_ranked(open_nodes, seed, "node")[: target_count(len(open_nodes), severity)])
+        arcs = {x: r for x, r in arcs.items() if x[0] not in gone and x[1] not in gone}
+    if control == "edge_deletion":
+        lost = set(_ranked(list(arcs), seed, "edge")[: target_count(len(arcs), severity)])
+        arcs = {x: r for x, r in arcs.items() if x not in lost}
+    if control in ("edge_direction_reversal", "combined"):
+        hit = set(_ranked([x for x in arcs if x in turnable], seed, "turn")[: target_count(len(arcs), severity)])
+        turned = {(t, s) for s, t in hit}
+        arcs = {x[::-1] if x in hit else x: r for x, r in arcs.items()}
+    if control in ("edge_endpoint_rewiring", "combined"):
+        # an arc that is turned and then swapped counts as swapped
+        old, new = rewired(arcs, seed, severity)
+        arcs, turned, swapped = {x: r for x, r in arcs.items() if x not in old} | new, turned - old, set(new)
+    return gone, arcs, turned, swapped
+
+
+class _Graph:
+    """A graph of a row, with what all its runs need."""
+
+    def __init__(self, row: dict, seed: int):
+        self.graph_id, self.seed = row["graph_id"], seed
+        self.nodes = sorted(row["nodes"], key=lambda x: x["node_id"])
+        self.arcs = {(e["source"], e["target"]): e["relation"] for e in row["edges"] or []}
+        self.open = [x["node_id"] for x in self.nodes if x["node_id"] != "H1" and x["node_type"] is not None and x["node_type"] != "hazardconsequence"]
+        self.turnable = {(s, t) for s, t in self.arcs if s != t and (t, s) not in self.arcs}
+
+    def runs(self, replicates: int, part: int, parts: int) -> Iterator[tuple]:
+        """Control, severity and replicate of each run of a part, and the run."""
+        no = 0
+        for control in CONTROLS:
+            for severity in SEVERITIES:
+                for replicate in range(1, replicates + 1):
+                    if no % parts == part:
+                        run_seed = f"{self.seed}|{self.graph_id}|{control}|{severity}|{replicate}"
+                        yield control, severity, replicate, perturb_run(self.open, self.arcs, self.turnable, control, severity, run_seed)
+                    no += 1
+
+
+def _graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row for each graph with a node, or several with a part of its runs each: graph_id, nodes, edges, part, parts."""
+    label = F.col("label") if "label" in nodes.columns else F.lit(None).cast("string").alias("label")
+    own = nodes.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", "node_type", label)).alias("nodes"))
+    own = own.join(edges.groupBy("graph_id").agg(F.collect_list(F.struct("source", "target", "relation")).alias("edges")), "graph_id", "left")
+    size = (F.size("nodes") + F.coalesce(F.size("edges"), F.lit(0))).cast("long")
+    parts = F.least(F.lit(len(CONTROLS) * len(SEVERITIES)), 1 + F.floor(size * size / PART_WORK)).cast("int")
+    rows = own.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return spread(rows, "graph_id", "part")
 
 
 def perturbed(nodes: DataFrame, edges: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Runs, the nodes they delete, and their edges with ``turned`` and ``swapped``. Graphs without a node have no runs."""
-    runs = run_grid(nodes.select("graph_id").distinct(), replicates, seed)
-    edges = turnable_edges(edges.select("graph_id", "source", "target", "relation"))
-    of_run = runs.join(edges, "graph_id").select(*RUN, "seed", "source", "target", "relation", "turnable")
-    gone = deleted_nodes(runs.where(F.col("control").isin("node_deletion", "combined")).join(nodes.select("graph_id", "node_id", "node_type"), "graph_id"))
-    control = {c: of_run.where(F.col("control") == c) for c in CONTROLS}
-    no = F.lit(False)
-    columns = [*RUN, "source", "target", "relation", "turned", "swapped"]
-    turned = reversed_edges(without_nodes(control["combined"], gone))
-    # an edge that is turned and then swapped counts as swapped
-    swapped = rewired_edges(turned)
-    marks = turned.select(*RUN, "source", "target", "turned")
-    parts = [
-        without_nodes(control["node_deletion"], gone).withColumns({"turned": no, "swapped": no}),
-        deleted_edges(control["edge_deletion"]).withColumns({"turned": no, "swapped": no}),
-        reversed_edges(control["edge_direction_reversal"]).withColumn("swapped", no),
-        rewired_edges(control["edge_endpoint_rewiring"]).withColumn("turned", no),
-        swapped.join(marks, [*RUN, "source", "target"], "left").na.fill(False, ["turned"]),
-    ]
-    return runs, gone, reduce(DataFrame.unionByName, (p.select(*columns) for p in parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                g, out = _Graph(row, seed), []
+                for control, severity, replicate, (gone, arcs, turned, swapped) in g.runs(replicates, row["part"], row["parts"]):
+                    left = [{"source": x[0], "target": x[1], "relation": r, "turned": x in turned, "swapped": x in swapped} for x, r in arcs.items()]
+                    out.append({"graph_id": g.graph_id, "control": control, "severity": severity, "replicate": replicate, "gone": list(gone), "left": left})
+                yield pa.RecordBatch.from_pylist(out, schema)
+
+    edge = pa.struct([("source", pa.string()), ("target", pa.string()), ("relation", pa.string()), ("turned", pa.bool_()), ("swapped", pa.bool_())])
+    schema = pa.schema([*_run_fields(), ("gone", pa.list_(pa.string())), ("left", pa.list_(edge))])
+    made = _graph_rows(nodes, edges).mapInArrow(run, f"{_RUN_SCHEMA}, gone array<string>, left array<struct<source:string,target:string,relation:string,turned:boolean,swapped:boolean>>")
+    return made.select(*RUN), made.select(*RUN, F.explode("gone").alias("node_id")), made.select(*RUN, F.explode("left").alias("x")).select(*RUN, "x.*")
+
+
+def _run_fields() -> list[tuple[str, pa.DataType]]:
+    return [("graph_id", pa.int64()), ("control", pa.string()), ("severity", pa.float64()), ("replicate", pa.int32())]
+
+
+def _counted(nodes: DataFrame, edges: DataFrame, replicates: int, seed: int, scores: bool) -> DataFrame:
+    """Each run with its sizes, with ``scores`` its scores too and a row ``positive_control`` for each graph."""
+    fields = [*_run_fields(), *((c, pa.int32()) for c in _SIZES), *((c, pa.float64()) for c in _SCORES if scores)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                g, rows, shapes = _Graph(row, seed), [], []
+                if scores and row["part"] == 0:
+                    rows.append((g.graph_id, "positive_control", 0.0, 0, *[None] * len(_SIZES)))
+                    shapes.append((set(), g.arcs))
+                for control, severity, replicate, (gone, arcs, turned, swapped) in g.runs(replicates, row["part"], row["parts"]):
+                    same = sum(x in g.arcs for x in arcs)
+                    rows.append((g.graph_id, control, severity, replicate, len(g.nodes), len(g.arcs), len(gone), len(arcs), same, len(turned), len(swapped)))
+                    if scores:
+                        shapes.append((gone, arcs))
+                columns = list(zip(*rows, strict=True)) if rows else [()] * (len(RUN) + len(_SIZES))
+                if scores:
+                    columns += score_runs(g.nodes, g.arcs, shapes)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], schema=pa.schema(fields))
+
+    schema = ", ".join([_RUN_SCHEMA, *(f"{c} int" for c in _SIZES), *(f"{c} double" for c in _SCORES if scores)])
+    return _graph_rows(nodes, edges).mapInArrow(run, schema)
+
+
+def _changes() -> list:
+    before, after = (F.col("nodes_before"), F.col("edges_before")), F.col("edges_after")
+    return [
+        *before, (before[0] - F.col("nodes_deleted")).alias("nodes_after"), after, "nodes_deleted", (before[1] - after).alias("edges_deleted"), "edges_reversed", "edges_rewired",
+        F.round(F.when(before[1] > 0, F.col("same") / before[1]).when(before[1] == 0, 1.0), 6).alias("edges_kept"), F.round(1 - F.col("nodes_deleted") / before[0], 6).alias("nodes_kept"),
+    ]
 
 
 def perturbation_changes(nodes: DataFrame, edges: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
     """Each run with its sizes before and after, its changes, and the shares of edges and nodes that are still there."""
-    runs, gone, after = perturbed(nodes, edges, replicates, seed)
-    there = edges.select("graph_id", "source", "target", F.lit(1).alias("same"))
-    left = after.join(there, ["graph_id", "source", "target"], "left").groupBy(*RUN).agg(
-        F.count("*").alias("edges_after"), F.count("same").alias("same"), F.count_if("turned").alias("edges_reversed"), F.count_if("swapped").alias("edges_rewired")
-    )
-    lost = gone.groupBy(*RUN).agg(F.count("*").alias("nodes_deleted"))
-    sizes = nodes.groupBy("graph_id").agg(F.count("*").alias("nodes_before")).join(edges.groupBy("graph_id").agg(F.count("*").alias("edges_before")), "graph_id", "left")
-    both = runs.join(sizes, "graph_id").join(left, RUN, "left").join(lost, RUN, "left").na.fill(0)
-    counts = [F.col(c).cast("int").alias(c) for c in ("nodes_before", "edges_before")]
-    return both.select(
-        *RUN, *counts, (F.col("nodes_before") - F.col("nodes_deleted")).cast("int").alias("nodes_after"), F.col("edges_after").cast("int").alias("edges_after"),
-        F.col("nodes_deleted").cast("int").alias("nodes_deleted"), (F.col("edges_before") - F.col("edges_after")).cast("int").alias("edges_deleted"),
-        F.col("edges_reversed").cast("int").alias("edges_reversed"), F.col("edges_rewired").cast("int").alias("edges_rewired"),
-        F.round(F.when(F.col("edges_before") > 0, F.col("same") / F.col("edges_before")).otherwise(1.0), 6).alias("edges_kept"),
-        F.round(1 - F.col("nodes_deleted") / F.col("nodes_before"), 6).alias("nodes_kept"),
-    )
-
-
-def refinement(labels: dict[str, str], arcs: dict[tuple[str, str], str], rounds: int = 2) -> Counter:
+    return _counted(nodes, edges, replicates, seed, False).select(*RUN, *_changes())
+
+
+def refinement(labels: dict[str, str], arcs: dict[Arc, str], rounds: int = 2) -> Counter:
     """Histogram of the refinement by successors, as ``compare.refined_labels`` has it, of one graph."""
     now = dict(labels)
     counted = Counter((0, x) for x in now.values())
@@ -171,33 +205,74 @@ def histogram_similarity(a: Counter, b: Counter) -> float:
     return sum(n * b[x] for x, n in a.items()) / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
 
 
+def _refined(codes: np.ndarray, texts: list[str], source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """One round of the refinement of nodes in many graphs: the codes of their labels, and the label of each code."""
+    after = codes[target]
+    order = np.lexsort((after, source))
+    source, after = source[order], after[order]
+    degree = np.bincount(source, minlength=len(codes))
+    nth = np.arange(len(source)) - (np.cumsum(degree) - degree)[source]
+    rows = np.full((len(codes), 1 + int(degree.max(initial=0))), -1, np.int64)
+    rows[:, 0] = codes
+    rows[source, 1 + nth] = after
+    # equal rows are found by a hash and compared
+    odd = np.random.default_rng(1).integers(1 << 62, size=rows.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    _, first, of = np.unique((rows.astype(np.uint64) * odd).sum(axis=1), return_index=True, return_inverse=True)
+    if not (rows == rows[first][of]).all():
+        _, first, of = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    known: dict[str, int] = {}
+    made = []
+    for own, *next_ in rows[first].tolist():
+        text = f"{texts[own]}({','.join(sorted(texts[x] for x in next_ if x >= 0))})"
+        made.append(known.setdefault(text, len(known)))
+    return np.array(made, np.int64)[of.reshape(-1)], list(known)
+
+
+def refinement_similarities(labels: list[str], alive: np.ndarray, run: np.ndarray, source: np.ndarray, target: np.ndarray, rounds: int = 2) -> np.ndarray:
+    """``histogram_similarity`` of each run's ``refinement`` with that of the last run.
+
+    ``alive`` tells the nodes of each run, ``run``, ``source`` and ``target`` the arcs of all.
+    """
+    runs, n = alive.shape
+    known: dict[str, int] = {}
+    codes = np.tile(np.array([known.setdefault(x, len(known)) for x in labels], np.int64), runs)
+    texts, flat = list(known), alive.reshape(-1)
+    cross, own = np.zeros(runs, np.int64), np.zeros(runs, np.int64)
+    at = np.repeat(np.arange(runs), n)[flat]
+    for k in range(rounds + 1):
+        if k:
+            codes, texts = _refined(codes, texts, run * n + source, run * n + target)
+        there = codes[flat]
+        ref = np.bincount(there[at == runs - 1], minlength=len(texts))
+        cross += np.bincount(at, ref[there], runs).astype(np.int64)
+        cell, many = np.unique(at * len(texts) + there, return_counts=True)
+        own += np.bincount(cell // len(texts), many * many, runs).astype(np.int64)
+    return np.where(own > 0, cross / np.sqrt(np.maximum(own, 1) * max(own[-1], 1)), float(own[-1] == 0))
+
+
+def score_runs(nodes: list[dict], arcs: dict[Arc, str], shapes: list[tuple[set[str], dict[Arc, str]]]) -> list[list[float]]:
+    """Label-refinement similarity, edit distance and edit similarity of runs (nodes gone, arcs left) against their graph."""
+    at = {x["node_id"]: k for k, x in enumerate(nodes)}
+    relation = {r: k for k, r in enumerate(sorted(set(arcs.values())))}
+    alive = np.ones((len(shapes) + 1, len(nodes)), bool)
+    for k, (gone, _) in enumerate(shapes):
+        alive[k, [at[x] for x in gone]] = False
+    # the graph itself comes last
+    rows = [(k, at[s], at[t], relation[r]) for k, (_, left) in enumerate([*shapes, (set(), arcs)]) for (s, t), r in left.items()]
+    run, source, target, of = np.array(rows, np.int64).reshape(-1, 4).T
+    alike = refinement_similarities([x["label"] for x in nodes], alive, run, source, target)[:-1]
+    kinds = {t: k for k, t in enumerate({x["node_type"] for x in nodes})}
+    types = np.array([kinds[x["node_type"]] for x in nodes], np.int64)
+    distance = edit_distances(types, alive[:-1], run, source, target, of, len(relation))
+    elements = [max(1, 2 * len(nodes) - len(gone) + len(arcs) + len(left)) for gone, left in shapes]
+    part = [d / n for d, n in zip(distance.tolist(), elements, strict=True)]
+    return [[round(x, 6) for x in alike.tolist()], distance.astype(float).tolist(), [round(max(0.0, 1 - x), 6) for x in part]]
+
+
 def perturbation_sweep(nodes: DataFrame, edges: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
     """Every run with its changes and its scores against the graph it comes from.
 
     The scores are label-refinement similarity and the edit distance and similarity. A row ``positive_control`` (severity 0,
-    replicate 0) scores each graph as it is. ``nodes`` has graph_id, node_id, node_type, label. Only the scores run in Python.
+    replicate 0) scores each graph as it is and has no changes. ``nodes`` has graph_id, node_id, node_type, label.
     """
-    runs, gone, after = perturbed(nodes, edges, replicates, seed)
-    own = nodes.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", "node_type", "label")).alias("nodes"))
-    own = own.join(edges.groupBy("graph_id").agg(F.collect_list(F.struct("source", "target", "relation")).alias("edges")), "graph_id", "left")
-    lost = gone.groupBy(*RUN).agg(F.collect_list("node_id").alias("gone"))
-    left = after.groupBy(*RUN).agg(F.collect_list(F.struct("source", "target", "relation")).alias("left"))
-    positive = own.select("graph_id", F.lit("positive_control").alias("control"), F.lit(0.0).alias("severity"), F.lit(0).alias("replicate"), F.lit(None).cast("array<string>").alias("gone"), F.col("edges").alias("left"))
-    rows = runs.select(*RUN).join(lost, RUN, "left").join(left, RUN, "left").unionByName(positive).join(own, "graph_id")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read = lambda x: {} if x is None else {(e["source"], e["target"]): e["relation"] for e in x}
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                types, labels = {x["node_id"]: x["node_type"] for x in r.nodes}, {x["node_id"]: x["label"] for x in r.nodes}
-                lost, arcs, now = set() if r.gone is None else set(r.gone), read(r.edges), read(r.left)
-                alike = histogram_similarity(refinement({n: x for n, x in labels.items() if n not in lost}, now), refinement(labels, arcs))
-                distance = sum(edit_counts({n: x for n, x in types.items() if n not in lost}, now, types, arcs).values())
-                part = distance / max(1, 2 * len(types) - len(lost) + len(arcs) + len(now))
-                out.append((r.graph_id, r.control, r.severity, r.replicate, round(alike, 6), float(distance), round(max(0.0, 1 - part), 6)))
-            yield pd.DataFrame(out, columns=[*RUN, "wl_similarity", "edit_distance", "edit_similarity"])
-
-    schema = "graph_id long, control string, severity double, replicate int, wl_similarity double, edit_distance double, edit_similarity double"
-    scored = spread(rows, *RUN).mapInPandas(run, schema)
-    return scored.join(perturbation_changes(nodes, edges, replicates, seed), RUN, "left")
+    return _counted(nodes, edges, replicates, seed, True).select(*RUN, *_SCORES, *_changes())

@@ -112,3 +112,23 @@ def test_runs_differ_and_repeat(spark, tables, random_runs):
     again = [perturb.perturbation_changes(*tables, replicates=2).orderBy(*perturb.RUN).collect() for _ in range(2)]
     assert again[0] == again[1] and len(again[0]) == 3 * 15 * 2
     assert perturb.perturbation_changes(tables[0], tables[1].limit(0), replicates=1).where("edges_kept < 1 or edges_after > 0").count() == 0
+
+
+def test_runs_of_a_graph_are_scored_together(random_runs):
+    types, arcs, lost, left = random_runs
+    for g in types:
+        nodes = [{"node_id": n, "node_type": t, "label": t} for n, t in sorted(types[g].items())]
+        runs = [(g, c, s, k) for c in perturb.CONTROLS for s in perturb.SEVERITIES for k in range(1, 6)]
+        shapes = [(lost.get(r, set()), {(e.source, e.target): e.relation for e in left.get(r, [])}) for r in runs]
+        alike, distance, _ = perturb.score_runs(nodes, arcs[g], shapes)
+        for (gone, now), a, d in zip(shapes, alike, distance, strict=True):
+            kept = {n: t for n, t in types[g].items() if n not in gone}
+            assert d == sum(assign.edit_counts(kept, now, types[g], arcs[g]).values())
+            assert a == round(perturb.histogram_similarity(perturb.refinement(kept, now), perturb.refinement(types[g], arcs[g])), 6)
+
+
+def test_no_run_is_shuffled(tables):
+    # a run is made and scored where its graph is: one map, and shuffles of graphs only
+    for made in (perturb.perturbation_changes(*tables), perturb.perturbation_sweep(*tables)):
+        plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") <= 4 and "Window" not in plan
