@@ -252,7 +252,8 @@ def latest_outputs(spark, sf_dir):
 def _control_means(spark, sf_dir):
     """Negative controls: the mean scores of a report (its reference graph) over the replicates, per control, severity and metric."""
     scored = graph_perturb_sweep(spark, sf_dir).where("control <> 'positive_control'")
-    means = scored.groupBy("control", "severity", "graph_id").agg(panel.exact_mean("wl_similarity").alias("wl"), panel.exact_mean("edit_similarity").alias("edit"))
+    # the summary reads them twice
+    means = durable(scored.groupBy("control", "severity", "graph_id").agg(panel.exact_mean("wl_similarity").alias("wl"), panel.exact_mean("edit_similarity").alias("edit")))
     return means.select("control", "severity", "graph_id", F.expr("stack(2, 'wl_similarity', wl, 'edit_similarity', edit) as (metric, score)"))
 
 
