@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.operators.assign import spread
+
 
 def exact_mean(value: Column | str) -> Column:
     """The mean of values with six decimals."""
@@ -159,11 +161,6 @@ def balanced_anova(panel: DataFrame, metric: str, conditions: list[str], runs: i
     return by_condition.crossJoin(F.broadcast(errors)).select("condition_name", F.round("condition_mean", 6).alias("adjusted_mean"), "se", "se_difference")
 
 
-def uniform(*parts: Column) -> Column:
-    """A number in [0, 1) from the hash of its parts, the same on every run."""
-    return F.conv(F.left(F.md5(F.concat_ws("|", *parts)), F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
 #: The chances that a Poisson variable of mean 1 is at most 0, 1, 2, ...
 POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
 
@@ -173,9 +170,12 @@ def bootstrap_dz(diffs: DataFrame, resamples: int = 200) -> DataFrame:
 
     Each report gets a weight in each resample, drawn by a hash, so the resamples are sums that pre-aggregate anywhere.
     """
-    u = uniform(F.col("contrast"), F.col("report_id").cast("string"), F.col("resample").cast("string"))
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
-    drawn = diffs.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample")).withColumn("w", weight)
+    # numbers are compared as the eight digits of their hashes; few rows are much work, so they are spread before they grow
+    digits = F.md5(F.concat_ws("|", F.col("contrast"), F.col("report_id").cast("string"), F.col("resample").cast("string")))
+    weight = sum((F.when(F.col("u") >= f"{math.ceil(c * 4294967296):08x}", 1).otherwise(0) for c in POISSON), F.lit(0))
+    rows = diffs.select("contrast", "report_id", "diff")
+    drawn = spread(rows, "contrast", "report_id").select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
+    drawn = drawn.withColumn("u", digits).withColumn("w", weight)
     sums = drawn.groupBy("contrast", "resample").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("diff")).alias("s"), F.sum(F.col("w") * F.col("diff") * F.col("diff")).alias("q"))
     mean = F.col("s") / F.col("n")
     var = (F.col("q") - F.col("n") * mean * mean) / (F.col("n") - 1)

@@ -1,4 +1,6 @@
+import hashlib
 import random
+import statistics
 
 import pytest
 
@@ -42,6 +44,23 @@ def test_bootstrap_holds_the_estimate(spark):
     assert out.resamples == 200 and 0.2 < out.low < 0.5 < out.high < 0.85
 
 
+def test_bootstrap_draws_as_numbers_and_spread(spark):
+    rng = random.Random(6)
+    rows = [("a - b", k, rng.gauss(0.5, 1)) for k in range(30)]
+    made = panel.bootstrap_dz(spark.createDataFrame(rows, "contrast string, report_id long, diff double").coalesce(1), 50)
+    # one partition of few rows grows to many, so it goes to all tasks before
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(contrast" in plan.split("Generate explode")[-1]
+    dz = []
+    for resample in range(1, 51):
+        u = [int(hashlib.md5(f"{c}|{k}|{resample}".encode()).hexdigest()[:8], 16) / 2**32 for c, k, _ in rows]
+        drawn = [d for x, (_, _, d) in zip(u, rows, strict=True) for _ in range(sum(x >= c for c in panel.POISSON))]
+        dz.append(statistics.mean(drawn) / statistics.stdev(drawn))
+    low, high = (statistics.quantiles(dz, n=40, method="inclusive")[k] for k in (0, -1))
+    out = made.first()
+    assert (out.resamples, out.low, out.high) == (50, pytest.approx(low, abs=2e-5), pytest.approx(high, abs=2e-5))
+
+
 def test_monotonicity(spark):
     rows = spark.createDataFrame([("a", 1, 0.9), ("a", 2, 0.8), ("b", 1, 0.5), ("b", 2, 0.6), ("c", 1, 0.1)], "c string, s int, v double")
     assert {r.c: r.monotone for r in panel.monotonicity(rows, ["c"], "s", "v").collect()} == {"a": True, "b": False, "c": True}
