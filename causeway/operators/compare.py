@@ -129,20 +129,26 @@ def triple_sentences(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return named_edges(edges, nodes).select("graph_id", F.concat_ws(" ", "source_name", relation, "target_name").alias("sentence")).distinct()
 
 
-def centroid_cosine(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The cosine of the mean unit vectors of a graph's members (graph_id, vector) and its reference's."""
-    mean = vectors.mean_vector(members.select("graph_id", vectors.unit("vector").alias("vector")), ["graph_id"], "vector")
+def centroid_cosine(pairs: DataFrame, members: DataFrame, longest: int, weight: str | None = None) -> DataFrame:
+    """The cosine of the mean vectors of a graph's members (graph_id, vector: of length 1) and its reference's."""
+    mean = vectors.mean_vector(members, ["graph_id"], "vector", longest, weight)
     both = pairs.select("graph_id", "ref_id").join(mean, "graph_id", "left").join(mean.select(F.col("graph_id").alias("ref_id"), F.col("vector").alias("ref")), "ref_id", "left")
     return both.select("graph_id", F.round(vectors.cosine("vector", "ref"), 6).alias("cosine"))
 
 
-def typed_candidates(pairs: DataFrame, typed: DataFrame, threshold: float) -> DataFrame:
+def typed_candidates(pairs: DataFrame, typed: DataFrame, threshold: float, table: DataFrame | None = None) -> DataFrame:
     """Pairs of nodes of one type with a cosine of at least ``threshold``: graph_id, node_id, ref_node_id, similarity.
 
-    ``typed`` has graph_id, node_id, node_type, vector. The join is on the pair of graphs and the type, so it grows
-    with the square of the nodes of a type in one graph only.
+    ``typed`` has graph_id, node_id, node_type, and vector and norm, or nth with a ``table`` (nth, vector, norm) to be
+    broadcast: then vectors join the pairs and aren't shuffled. The join is on the pair of graphs and the type, so it
+    grows with the square of the nodes of a type in one graph only.
     """
-    ref = typed.select(F.col("graph_id").alias("ref_id"), F.col("node_id").alias("ref_node_id"), "node_type", F.col("vector").alias("ref_vector"))
+    named = ["vector", "norm"] if table is None else ["nth"]
+    ref = typed.select(F.col("graph_id").alias("ref_id"), F.col("node_id").alias("ref_node_id"), "node_type", *(F.col(c).alias(f"ref_{c}") for c in named))
     both = pairs.select("graph_id", "ref_id").join(typed, "graph_id").join(ref, ["ref_id", "node_type"])
-    scored = both.withColumn("similarity", vectors.cosine("vector", "ref_vector"))
+    if table is not None:
+        both = both.join(table, "nth").join(table.select(*(F.col(c).alias(f"ref_{c}") for c in table.columns)), "ref_nth")
+    fit = (F.size("vector") == F.size("ref_vector")) & (F.size("vector") > 0) & (F.col("norm") * F.col("ref_norm") > 0)
+    cosine = F.when(fit, vectors.dot("vector", "ref_vector") / (F.col("norm") * F.col("ref_norm")))
+    scored = both.withColumn("similarity", F.coalesce(cosine, F.lit(0.0)))
     return scored.where(F.col("similarity") >= threshold).select("graph_id", "node_type", "node_id", "ref_node_id", "similarity")

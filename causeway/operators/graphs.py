@@ -28,14 +28,15 @@ ONTOLOGY = [
 REFERENCE = ("full_pipeline", 1)
 
 
-def live_nodes(graph_node: DataFrame) -> DataFrame:
+def live_nodes(graph_node: DataFrame, texts: bool = True) -> DataFrame:
     """Nodes that aren't withdrawn, one row for each (graph_id, node_id): the row loaded last wins.
 
-    Gives graph_id, node_id, label, name, node_type (canonical), evidence, explanation, source. Rows without a graph or
+    Gives graph_id, node_id, label, name, node_type (canonical), with ``texts`` evidence, explanation, source. Rows without a graph or
     node id are dropped; null labels and types become the unknown ones, a null name the node id.
     """
     rows = graph_node.where("deleted_at is null and graph_id is not null and node_id is not null")
-    fields = ["label", "name", "node_type", "evidence", "explanation", "source"]
+    kept = ["evidence", "explanation", "source"] if texts else []
+    fields = ["label", "name", "node_type", *kept]
     last = rows.groupBy("graph_id", "node_id").agg(F.max_by(F.struct(*fields), F.struct("loaded_at", "node_row_id")).alias("n"))
     return last.select(
         "graph_id",
@@ -43,7 +44,7 @@ def live_nodes(graph_node: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(F.trim("n.label"), F.lit("")), F.lit("UNKNOWN_LABEL")).alias("label"),
         F.coalesce(F.nullif(F.trim("n.name"), F.lit("")), F.col("node_id")).alias("name"),
         node_type(F.col("n.node_type"), F.col("node_id")).alias("node_type"),
-        *(F.col(f"n.{c}").alias(c) for c in ("evidence", "explanation", "source")),
+        *(F.col(f"n.{c}").alias(c) for c in kept),
     )
 
 

@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.functions import text, vectors
+from causeway.functions import text
 from causeway.functions.keys import severity_rank
 from causeway.operators import assign, compare, graphs, nested, panel, patch, postprocess
 from causeway.operators.assign import COUNTS
-from causeway.plans.graphs import _B, _PATCHED, _TEXT, NODES_SQL, PRF_SQL, SQL as GRAPH_SQL, _scores, _typed, cut, graph_bipartite_ged, graph_signature_prf, load
+from causeway.plans.graphs import _B, _PATCHED, _TEXT, NODES_SQL, PRF_SQL, SQL as GRAPH_SQL, _scores, _typed, cut, graph_bipartite_ged, graph_signature_prf, load, load_vectors
 from causeway.plans.panels import PANEL_SQL, _mean, scores
 from causeway.session import durable
 from causeway.sources.tables import table
@@ -170,16 +170,15 @@ def text_duplicate_keys(spark, sf_dir):
 
 def narrative_cosine(spark, sf_dir):
     """The cosine of graph and reference by all their sentences, repeated ones counting as often as they stand, and its gap to that by distinct ones."""
-    from causeway.plans.graphs import node_vectors
-
     g = load(spark, sf_dir)
     named = compare.named_edges(g.written.join(g.nodes.select("graph_id", F.col("node_id").alias("source")), ["graph_id", "source"], "left_semi"), g.nodes)
     relation = F.when(F.col("relation") == "", "related_to").otherwise(F.col("relation"))
     said = named.select("graph_id", F.concat_ws(" ", "source_name", relation, "target_name").alias("sentence")).groupBy("graph_id", "sentence").agg(F.count("*").alias("times"))
-    vectored = durable(node_vectors(spark, sf_dir, said, "sentence").select("graph_id", "times", vectors.unit("vector").alias("vector")))
-    once = compare.centroid_cosine(g.pairs, vectored.select("graph_id", "vector"))
-    each = vectored.select("graph_id", "vector", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("graph_id", "vector")
-    often = compare.centroid_cosine(g.pairs, each).withColumnRenamed("cosine", "narrative")
+    picked = load_vectors(spark, sf_dir)
+    bag = durable(said.groupBy("graph_id", picked.pick("sentence")).agg(F.count("*").alias("once"), F.sum("times").alias("times")))
+    members = bag.join(picked.of("unit"), "nth").withColumnRenamed("unit", "vector")
+    once = compare.centroid_cosine(g.pairs, members, picked.longest, "once")
+    often = compare.centroid_cosine(g.pairs, members, picked.longest, "times").withColumnRenamed("cosine", "narrative")
     return often.join(once, "graph_id").select("graph_id", "narrative", F.col("cosine").alias("distinct_sentences"), F.round(F.col("narrative") - F.col("cosine"), 6).alias("delta"))
 
 

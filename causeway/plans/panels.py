@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from causeway.functions.keys import case_key, difference_bucket, numeric_first
 from causeway.operators import compare, graphs, panel
 from causeway.plans.graphs import (
-    NODES_SQL, PRF_SQL, cut, edges_soft_match, graph_bipartite_ged, graph_perturb_sweep, graph_sentence_cosine, graph_wl_similarity, load, nodes_typed_assignment,
+    NODES_SQL, PRF_SQL, cut, edges_soft_match, graph_bipartite_ged, graph_perturb_sweep, graph_sentence_cosine, graph_wl_similarity, load, load_vectors, nodes_typed_assignment, typed_matches,
 )
 from causeway.session import durable
 from causeway.sources.tables import table
@@ -27,9 +27,9 @@ ALL_METRICS = ["edit_similarity", "wl_similarity", *(f"soft_{side}_{m}" for side
 RESAMPLES = 10_000
 
 
-def scores(spark, sf_dir):
+def scores(spark, sf_dir, g=None):
     """The panel: report_id, batch_id, case_id, condition_name, run_no, nodes, edges, node_f1, edge_f1."""
-    g = cut(load(spark, sf_dir))
+    g = g or cut(load(spark, sf_dir))
     nodes = compare.signature_scores(g.pairs, durable(compare.node_signatures(g.nodes)), "node").select("graph_id", "node_f1")
     edges = compare.signature_scores(g.pairs, durable(compare.edge_signatures(g.edges, g.nodes)), "edge").select("graph_id", "edge_f1")
     sizes = graphs.degree_factors(g.nodes, g.edges).select("graph_id", "nodes", "edges")
@@ -81,13 +81,21 @@ def panel_bootstrap_dz(spark, sf_dir):
 
 
 def all_scores(spark, sf_dir):
-    """The panel with every score of the graph queries: ``scores`` and the other ``ALL_METRICS``."""
-    rows = scores(spark, sf_dir)
-    for query, named in (
-        (graph_wl_similarity, {"similarity": "wl_similarity"}), (graph_bipartite_ged, {"similarity": "edit_similarity"}), (graph_sentence_cosine, {"cosine": "sentence_cosine"}),
-        *((q, {m: f"soft_{side}_{m}" for m in ("precision", "recall", "f1")}) for side, q in (("node", nodes_typed_assignment), ("edge", edges_soft_match))),
+    """The panel with every score of the graph queries: ``scores`` and the other ``ALL_METRICS``.
+
+    The graphs, the vectors and the node matches are made once for all.
+    """
+    g, picked = cut(load(spark, sf_dir)), load_vectors(spark, sf_dir)
+    g = g._replace(pairs=durable(g.pairs))
+    _, matches = typed_matches(spark, sf_dir, g, picked)
+    matched = g, durable(matches)
+    rows = scores(spark, sf_dir, g)
+    for scored, named in (
+        (graph_wl_similarity(spark, sf_dir, g), {"similarity": "wl_similarity"}), (graph_bipartite_ged(spark, sf_dir, g), {"similarity": "edit_similarity"}),
+        (graph_sentence_cosine(spark, sf_dir, g, picked), {"cosine": "sentence_cosine"}),
+        *((q(spark, sf_dir, matched), {m: f"soft_{side}_{m}" for m in ("precision", "recall", "f1")}) for side, q in (("node", nodes_typed_assignment), ("edge", edges_soft_match))),
     ):
-        rows = rows.join(query(spark, sf_dir).select("graph_id", *(F.col(k).alias(v) for k, v in named.items())), "graph_id", "left")
+        rows = rows.join(scored.select("graph_id", *(F.col(k).alias(v) for k, v in named.items())), "graph_id", "left")
     return rows
 
 

@@ -54,7 +54,7 @@ def text_sentences(spark, sf_dir):
 
 def text_snippets(spark, sf_dir):
     """Evidence of the first eight nodes of each graph that have any, shortened to 80 characters."""
-    rows = load(spark, sf_dir).nodes.where("trim(evidence) <> ''").select("graph_id", F.struct("node_id", F.left(F.trim("evidence"), F.lit(80)).alias("t")).alias("s"))
+    rows = load(spark, sf_dir, texts=True).nodes.where("trim(evidence) <> ''").select("graph_id", F.struct("node_id", F.left(F.trim("evidence"), F.lit(80)).alias("t")).alias("s"))
     listed = rows.groupBy("graph_id").agg(F.slice(F.array_sort(F.collect_list("s")), 1, 8).alias("s"))
     return listed.select("graph_id", F.array_join(F.transform("s", lambda s: F.concat(s.node_id, F.lit(": "), s.t)), "\n").alias("snippets"))
 
