@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.llm.lookalike import one_form
-from causeway.session import broadcast_if_small, durable
+from causeway.session import broadcast_if_small, durable, released
 
 #: Towns that a name keeps to at most, as an effective number, or this share of all towns; a frequent firm stays a name.
 NAME_TOWNS, NAME_SHARE = 4.0, 0.01
@@ -319,7 +319,10 @@ def match(entries: DataFrame, notices: DataFrame) -> DataFrame:
         order = Window.partitionBy("notice_id", "open").orderBy(F.desc("bits"), "entry_id")
         ranked = scored.where(F.col("bits") >= least).withColumns({"nth": F.row_number().over(order), "second": F.lead("bits").over(order)})
         best = ranked.where("nth = 1").where(F.col("second").isNull() | (F.col("bits") - F.col("second") >= LEAD))
-        resolved.append(durable(best.select("notice_id", "open", "entry_id", "known", "right", F.lit(no).alias("rule_no"))))
+        # the plans of a rule are large, so they go before the next one's
+        steps = [best.select("notice_id", "open", "entry_id", "known", "right", F.lit(no).alias("rule_no"))]
+        del left, right, pairs, found, scored, ranked, best
+        resolved.append(released(entries.sparkSession, steps.pop))
     tried = reduce(DataFrame.unionByName, resolved)
     sure = tried.where("known").groupBy("rule_no").agg(F.count("*").alias("n"), F.count_if("right").alias("k"))
     names = F.array(*(F.lit(rule) for rule, _ in RULES))

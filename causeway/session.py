@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, durable; then the plans and shuffle files behind it go.
+
+    They stay until the driver happens to collect its garbage. For plans of several large steps, once a step; ``make``
+    is a function so that no variable of the caller holds its plan.
+    """
+    out = durable(make())
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if it has at most ``rows`` rows and ``BROADCAST_BYTES`` bytes, else leave the join to Catalyst and AQE.
 
