@@ -12,7 +12,7 @@ from causeway.operators import compare, graphs, panel
 from causeway.plans.graphs import (
     NODES_SQL, PRF_SQL, cut, edges_soft_match, graph_bipartite_ged, graph_perturb_sweep, graph_sentence_cosine, graph_wl_similarity, load, load_vectors, nodes_typed_assignment, typed_matches,
 )
-from causeway.session import durable
+from causeway.session import durable, released
 from causeway.sources.tables import table
 
 #: The conditions that have all runs beside the reference graph.
@@ -83,19 +83,21 @@ def panel_bootstrap_dz(spark, sf_dir):
 def all_scores(spark, sf_dir):
     """The panel with every score of the graph queries: ``scores`` and the other ``ALL_METRICS``.
 
-    The graphs, the vectors and the node matches are made once for all.
+    The graphs, the vectors and the node matches are made once for all; each score is written before the next, so that
+    the shuffles of one are there at a time.
     """
     g, picked = cut(load(spark, sf_dir)), load_vectors(spark, sf_dir)
     g = g._replace(pairs=durable(g.pairs))
-    _, matches = typed_matches(spark, sf_dir, g, picked)
-    matched = g, durable(matches)
-    rows = scores(spark, sf_dir, g)
-    for scored, named in (
-        (graph_wl_similarity(spark, sf_dir, g), {"similarity": "wl_similarity"}), (graph_bipartite_ged(spark, sf_dir, g), {"similarity": "edit_similarity"}),
-        (graph_sentence_cosine(spark, sf_dir, g, picked), {"cosine": "sentence_cosine"}),
-        *((q(spark, sf_dir, matched), {m: f"soft_{side}_{m}" for m in ("precision", "recall", "f1")}) for side, q in (("node", nodes_typed_assignment), ("edge", edges_soft_match))),
+    matched = g, released(spark, lambda: typed_matches(spark, sf_dir, g, picked)[1])
+    rows = released(spark, lambda: scores(spark, sf_dir, g))
+    soft = {side: {m: f"soft_{side}_{m}" for m in ("precision", "recall", "f1")} for side in ("node", "edge")}
+    for score, named in (
+        (lambda: graph_wl_similarity(spark, sf_dir, g), {"similarity": "wl_similarity"}), (lambda: graph_bipartite_ged(spark, sf_dir, g), {"similarity": "edit_similarity"}),
+        (lambda: graph_sentence_cosine(spark, sf_dir, g, picked), {"cosine": "sentence_cosine"}),
+        (lambda: nodes_typed_assignment(spark, sf_dir, matched), soft["node"]), (lambda: edges_soft_match(spark, sf_dir, matched), soft["edge"]),
     ):
-        rows = rows.join(scored.select("graph_id", *(F.col(k).alias(v) for k, v in named.items())), "graph_id", "left")
+        scored = released(spark, lambda score=score, named=named: score().select("graph_id", *(F.col(k).alias(v) for k, v in named.items())))
+        rows = rows.join(scored, "graph_id", "left")
     return rows
 
 
